@@ -16,7 +16,7 @@ from quire.llm.spans import bare, count, listed, matches, none
 KINDS = ["email", "ip", "card", "phone"]
 #: Stand-ins for single marks between like neighbours, so that a run of them is a run of one class of characters.
 DOT, GAP = "\ue000", "\ue001"
-LOCAL = "[A-Za-z0-9._%+-]"
+LOCAL = f"[A-Za-z0-9._%+{DOT}-]"
 EMAIL = f"(?:(?<!{LOCAL})|\\G){LOCAL}++@(?=[A-Za-z0-9-]*+{DOT})[A-Za-z0-9{DOT}-]++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = f"(?<![0-9{GAP}])[0-9{GAP}]{{16,}}+"
