@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,16 @@ BREAK = re.compile(r"[ \n\r\t]+")
 MARK = "\x01"
 
 
+@lru_cache(1)
+def tokenizer(path: str) -> WordTokenizer:
+    """One for each worker, whatever the number of its tasks."""
+    return WordTokenizer(path)
+
+
 class WordTokenizer:
     """Ids of whole texts, with a bounded store of ids by word: no token crosses white space in this vocabulary."""
 
-    def __init__(self, path: str, limit: int = 700_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer, normalizers
 
         self.full, self.short = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -129,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int) -> Da
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids with end_id behind, cut at multiples of length."""
 
     def tokenize(batches):
-        tok = WordTokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in slices(whole):
