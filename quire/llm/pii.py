@@ -27,7 +27,7 @@ TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
 
 
 def _plain(text: Column, stand_in: str) -> Column:
-    return F.translate(text, stand_in, "x")
+    return F.translate(text, stand_in, "\ufffd")
 
 
 def _digits(m: Column) -> Column:
