@@ -11,11 +11,13 @@ Documents are dealt into groups by a hash of the row; a group is the unit of wor
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ class Kind:
 
 @dataclass
 class Runs:
-    """Runs of windows of some documents: minimiser, document, first token, number of windows, first and last byte."""
+    """Runs of windows of some documents: 48 bits of the minimiser, document, first token, number of windows, first and last byte."""
 
     value: np.ndarray
     doc: np.ndarray
@@ -125,7 +127,7 @@ def runs(kind: Kind, docs: list[bytes]) -> Runs:
     byte = doc_end - size
     lo = first[start] if kind.words else start
     hi = last[start + windows + kind.k - 2] if kind.words else start + windows + kind.k - 1
-    return Runs(mix(key[start] >> U(6)), doc[start], start - begin, windows, lo - byte[doc[start]], hi - byte[doc[start]])
+    return Runs(mix(key[start] >> U(6)) >> U(16), doc[start], start - begin, windows, lo - byte[doc[start]], hi - byte[doc[start]])
 
 
 def chunks(keys: list[int], ids: list[int | None], raw: list[bytes], kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -144,12 +146,38 @@ def columns(table) -> list:
 
 
 def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    if parts <= 1 << 16:  # sorted by radix
+        part = part.astype(np.uint16)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cut)).tolist():
         yield p, order[cut[p] : cut[p + 1]]
 
 
+def blob(values, dtype=np.int64) -> bytes:
+    """Numbers by planes of equal bytes, compressed: high bytes that are alike take no room."""
+    values = np.ascontiguousarray(values, dtype)
+    return zstandard.ZstdCompressor(1).compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
+
+
+def unblob(data: bytes, dtype=np.int64) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def indexed(values: np.ndarray) -> bytes:
+    """Numbers of which few are different, as these and places among them."""
+    table, at = np.unique(np.asarray(values, np.int64), return_inverse=True)
+    a = blob(table)
+    return struct.pack("<I", len(a)) + a + blob(at, np.uint32)
+
+
+def unindexed(data: bytes) -> np.ndarray:
+    n = 4 + struct.unpack_from("<I", data)[0]
+    return unblob(data[4:n])[unblob(data[n:], np.uint32)]
+
+
 PAIRS = pa.schema([("part", pa.int32()), ("back", pa.bool_()), ("vals", pa.binary()), ("keys", pa.binary())])
 
 
@@ -177,7 +205,7 @@ def repeated_minimisers(docs: DataFrame, kind: Kind, groups: int, shards: int) -
                 at = np.flatnonzero(pick)
                 for p, i in by_part(part[at], groups if back else shards):
                     i = at[i]
-                    for col, v in zip(rows, (p, back, value[i].tobytes(), b"" if pick is head else key[i].tobytes()), strict=True):
+                    for col, v in zip(rows, (p, back, blob(value[i], U), b"" if pick is head else indexed(key[i])), strict=True):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, PAIRS.types, strict=True)], schema=PAIRS)
 
@@ -194,17 +222,17 @@ def repeated_minimisers(docs: DataFrame, kind: Kind, groups: int, shards: int) -
         rows = table.to_pylist()
         p, own = rows[0]["shard"], [r for r in rows if not r["back"]]
         out = [{"part": r["part"], "keys": r["keys"], "vals": r["vals"]} for r in rows if r["back"]]
-        many = np.concatenate([np.zeros(0, U), *(np.frombuffer(r["vals"], U) for r in own if not r["keys"])])
-        value = np.concatenate([np.zeros(0, U), *(np.frombuffer(r["vals"], U) for r in own if r["keys"])])
-        key = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in own)])
-        order = np.argsort(value, kind="stable")
+        many = np.concatenate([np.zeros(0, U), *(unblob(r["vals"], U) for r in own if not r["keys"])])
+        value = np.concatenate([np.zeros(0, U), *(unblob(r["vals"], U) for r in own if r["keys"])])
+        key = np.concatenate([np.zeros(0, np.int64), *(unindexed(r["keys"]) for r in own if r["keys"])])
+        order = np.argsort(value)
         value, key = value[order], key[order]
         same = value[1:] == value[:-1]
         again = np.append(False, same)[: len(value)] | np.append(same, False)[: len(value)] | np.isin(value, many)
         value, key = value[again], key[again]
         del p
         for g, i in by_part(key % groups, groups):
-            out.append({"part": g, "keys": key[i].tobytes(), "vals": value[i].tobytes()})
+            out.append({"part": g, "keys": indexed(key[i]), "vals": blob(value[i], U)})
         return pa.Table.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())]))
 
     sent = docs.mapInArrow(collected, "part int, back boolean, vals binary, keys binary")
@@ -216,10 +244,6 @@ MARKS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("starts", pa.bi
 SENT = pa.schema([("part", pa.int32()), ("back", pa.bool_()), ("keys", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("packed", pa.binary())])
 
 
-def blob(values, dtype=np.int64) -> bytes:
-    return np.asarray(values, dtype).tobytes()
-
-
 def settle(kind: Kind, found: dict[bytes, list]) -> tuple[list, list[tuple]]:
     """Of equal packed strings, the first and, where only other documents count, its document's others stay open.
 
@@ -244,7 +268,7 @@ def marked(docs: DataFrame, pairs: DataFrame, kind: Kind, groups: int, shards: i
     def packed(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = [np.zeros(0, U)]
         for keys, vals in zip(right["keys"].to_pylist(), right["vals"].to_pylist(), strict=True):
-            wanted.append(mix(np.frombuffer(vals, U) + np.frombuffer(keys, U) * U(P)))
+            wanted.append(mix(unblob(vals, U) + unindexed(keys).view(U) * U(P)))
         wanted = np.unique(np.concatenate(wanted))
         found: dict[bytes, list] = {}
         bucket: dict[bytes, int] = {}
@@ -264,8 +288,8 @@ def marked(docs: DataFrame, pairs: DataFrame, kind: Kind, groups: int, shards: i
             strings, flat = [rest[i][0] for i in at], [(x, i) for i in at for x in rest[i][1]]
             again = {i: j for j, i in enumerate(at)}
             out.append({
-                "part": p, "back": False, "keys": blob([x[2] for x, _ in flat]), "starts": blob([x[1] for x, _ in flat]), "ends": blob([again[i] for _, i in flat]),
-                "ids": blob([x[0] for x, _ in flat]), "sizes": blob([len(s) for s in strings]), "packed": b"".join(strings),
+                "part": p, "back": False, "keys": indexed([x[2] for x, _ in flat]), "starts": blob([x[1] for x, _ in flat]), "ends": blob([again[i] for _, i in flat]),
+                "ids": indexed([x[0] for x, _ in flat]), "sizes": blob([len(s) for s in strings]), "packed": zstandard.ZstdCompressor(1).compress(b"".join(strings)),
             })
         return pa.Table.from_pylist(out, schema=SENT)
 
@@ -276,7 +300,7 @@ def marked(docs: DataFrame, pairs: DataFrame, kind: Kind, groups: int, shards: i
                 yield g, m[i]
 
     def back(g: int, m: np.ndarray) -> dict:
-        return {"part": g, "back": True, "keys": blob(m[:, 0]), "starts": blob(m[:, 1]), "ends": blob(m[:, 2])}
+        return {"part": g, "back": True, "keys": indexed(m[:, 0]), "starts": blob(m[:, 1]), "ends": blob(m[:, 2])}
 
     def resolved(table: pa.Table) -> pa.Table:
         out, found = [], {}
@@ -284,10 +308,10 @@ def marked(docs: DataFrame, pairs: DataFrame, kind: Kind, groups: int, shards: i
             if r["back"]:
                 out.append({k: r[k] for k in MARKS.names})
                 continue
-            sizes = np.frombuffer(r["sizes"], np.int64)
-            ends = np.cumsum(sizes)
-            strings = [r["packed"][a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-            for key, start, i, doc_id in zip(*(np.frombuffer(r[c], np.int64).tolist() for c in ("keys", "starts", "ends", "ids")), strict=True):
+            sizes = unblob(r["sizes"])
+            ends, packed_ = np.cumsum(sizes), zstandard.ZstdDecompressor().decompress(r["packed"])
+            strings = [packed_[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            for key, start, i, doc_id in zip(unindexed(r["keys"]).tolist(), unblob(r["starts"]).tolist(), unblob(r["ends"]).tolist(), unindexed(r["ids"]).tolist(), strict=True):
                 s = strings[i]
                 n = (s.count(b" ") + 1 if kind.words else len(s)) - kind.k + 1
                 found.setdefault(s, []).append((doc_id, start, key, n))
@@ -343,7 +367,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, keep_text: bool = False, group_d
 
     def kept(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
-        key, start, end = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[c], np.int64) for r in rows)]) for c in ("keys", "starts", "ends"))
+        key, start, end = (np.concatenate([np.zeros(0, np.int64), *(read(r[c]) for r in rows)]) for c, read in (("keys", unindexed), ("starts", unblob), ("ends", unblob)))
         order = np.argsort(key, kind="stable")
         key, start, end = key[order], start[order], end[order]
         out: dict[str, list] = {n: [] for n in names}
