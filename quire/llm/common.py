@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,10 @@ def materialize(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds the plan's objects dead, the second the shuffles that they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     out = spark.read.schema(schema).parquet(path)
     out._quire_path = path
     return out
