@@ -2,7 +2,7 @@
 
 A paragraph's digest goes to one cell in each third of a table: the cell counts, and xors digests and checks. Two
 versions subtract cell by cell, and what is left peels: a cell with one digest gives it away, and it is taken out of
-its other cells. Tables are divided by digest into parts for about eight paragraphs of each version; a part that
+its other cells. Tables are divided by digest into parts for about four paragraphs of each version; a part that
 doesn't peel is built anew with twice the cells, and at last its digests are compared themselves.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import shuffle_partitions
 
 CELL = "struct<n:int,k:bigint,c:bigint>"
-CELLS = (30, 60, 120)
+CELLS = (15, 36, 90)
 FINGERPRINT_CELLS = 12
 ROUNDS = 12
 #: Texts shorter than this have their words as paragraphs.
@@ -119,7 +119,7 @@ def likeness(a: Column, b: Column) -> Column:
         sums = F.aggregate(F.sequence(F.lit(0).cast("long"), parts - 1), F.lit(0), lambda acc, s: acc + let(part(a, s), lambda x: let(part(b, s), lambda y: F.when(F.size(x) == 0, 0).when(F.size(y) == 0, F.size(x)).otherwise(differing(x, y)))))
         return let(sums, lambda own: (F.size(a) - own).cast("double") / (F.size(b) + own))
 
-    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / 16)).cast("long")
+    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / 8)).cast("long")
     return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(let(parts, over))
 
 
