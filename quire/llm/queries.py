@@ -38,6 +38,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.sentencepiece import decoded, encodings
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = decoded(encodings(documents(spark, sf_dir), path), path)
+    return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxh64"), F.sha2("text", 256).alias("text_sha256"), "log_prob", "perturbed", "log_inclusion")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +80,7 @@ QUERIES = {
     "op3_pii": op3,
     "op4_secret_scan": op4,
     "op5_simhash_near_dedup": op5,
+    "op6_sentencepiece": op6,
     "op7_packing": op7,
     "op8_toxicity": op8,
     "op9_document_fingerprints": op9,
