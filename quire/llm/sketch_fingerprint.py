@@ -8,6 +8,8 @@ doesn't peel is built anew with twice the cells, and at last its digests are com
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ CELL = "struct<n:int,k:bigint,c:bigint>"
 CELLS = (15, 36, 90)
 FINGERPRINT_CELLS = 12
 ROUNDS = 12
+#: Digests of a part, of both versions.
+PART = 8
 #: Texts shorter than this have their words as paragraphs.
 SHORT = 256
 
@@ -32,38 +36,30 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
 
 
-def let(value: Column, use) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def place(d: Column, i: int, cells: int) -> Column:
-    third = cells // 3
-    return (F.lit(i * third) + F.pmod(F.xxhash64(d, F.lit(i)), F.lit(third))).cast("int")
-
-
-def places(d: Column, cells: int) -> Column:
-    return F.array(*[place(d, i, cells) for i in range(3)])
-
-
-def xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-
-
 def table(found: Column, cells: int) -> Column:
     """Cells of digests d with signs n: found is an array of struct<d, n>."""
-    placed = F.transform(found, lambda x: F.struct(x["d"].alias("d"), x["n"].alias("n"), places(x["d"], cells).alias("at")))
+    placed = F.transform(
+        found,
+        lambda x: F.struct(
+            x["d"].alias("d"), x["n"].alias("n"), F.xxhash64(x["d"]).alias("c"),
+            *[F.pmod(F.xxhash64(x["d"], F.lit(i)), F.lit(cells // 3)).cast("int").alias(f"p{i}") for i in range(3)],
+        ),
+    )
 
-    def cell(at: Column, j: Column) -> Column:
-        # one place in each third, so only the third of j can name it
-        def made(own: Column) -> Column:
-            return F.struct(
-                F.aggregate(own, F.lit(0), lambda a, x: a + x["n"]).alias("n"), xor(F.transform(own, lambda x: x["d"])).alias("k"), xor(F.transform(own, lambda x: F.xxhash64(x["d"]))).alias("c")
-            ).cast(CELL)
+    def cell(own: Column) -> Column:
+        add = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["d"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
+        return F.aggregate(own, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")), add)
 
-        return let(F.filter(at, lambda x: F.get(x["at"], F.floor(j / (cells // 3)).cast("int")) == j), made)
+    def third(p: Column, i: int) -> Column:
+        # a digest has one place in each third
+        return F.transform(F.sequence(F.lit(0), F.lit(cells // 3 - 1)), lambda j: cell(F.filter(p, lambda x: x[f"p{i}"] == j)))
 
-    return let(placed, lambda p: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda j: cell(p, j)))
+    return let(placed, lambda p: F.concat(*[third(p, i) for i in range(3)]))
 
 
 def peel(cells_: Column, cells: int) -> Column:
@@ -72,7 +68,7 @@ def peel(cells_: Column, cells: int) -> Column:
 
     def round_(s: Column, _) -> Column:
         def pure(t: Column) -> Column:
-            one = F.filter(t, lambda x: (F.abs(x["n"]) == 1) & (F.xxhash64(x["k"]) == x["c"]))
+            one = F.filter(t, lambda x: ((x["n"] == 1) | (x["n"] == -1)) & (F.xxhash64(x["k"]) == x["c"]))
             return F.array_distinct(F.transform(one, lambda x: F.struct(x["k"].alias("d"), x["n"].alias("n"))))
 
         def without(found: Column) -> Column:
@@ -110,17 +106,28 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets of digests, from the digests that peeling recovers; of two empty sets 1."""
+    """Jaccard similarity of two sets of digests, from the digests that peeling recovers; of two empty sets 1.
+
+    Digests go to groups of parts and then to parts, so that a text isn't read once for each of its parts.
+    """
+
+    def some(x: Column, at: Callable[[Column], Column], s: Column) -> Column:
+        return F.filter(x, lambda d: at(d) == s)
+
+    def total(n: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0), lambda acc, s: acc + value(s))
 
-    def over(parts: Column) -> Column:
-        def part(x: Column, s: Column) -> Column:
-            return F.filter(x, lambda d: F.pmod(d, parts) == s)
+    def pair(a: Column, b: Column, at: Callable[[Column], Column], s: Column, use: Callable[[Column, Column], Column]) -> Column:
+        return let(some(a, at, s), lambda x: let(some(b, at, s), lambda y: F.when(F.size(x) == 0, 0).when(F.size(y) == 0, F.size(x)).otherwise(use(x, y))))
 
-        sums = F.aggregate(F.sequence(F.lit(0).cast("long"), parts - 1), F.lit(0), lambda acc, s: acc + let(part(a, s), lambda x: let(part(b, s), lambda y: F.when(F.size(x) == 0, 0).when(F.size(y) == 0, F.size(x)).otherwise(differing(x, y)))))
-        return let(sums, lambda own: (F.size(a) - own).cast("double") / (F.size(b) + own))
+    def over(n: Column) -> Column:
+        groups = lambda d: F.pmod(d, n)
+        parts = lambda d: F.pmod(F.shiftright(d, 32), n)
+        own = total(n, lambda s: pair(a, b, groups, s, lambda x, y: total(n, lambda r: pair(x, y, parts, r, differing))))
+        return let(own, lambda own: (F.size(a) - own).cast("double") / (F.size(b) + own))
 
-    parts = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / 8)).cast("long")
-    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(let(parts, over))
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(a) + F.size(b)) / PART))).cast("long")
+    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(let(n, over))
 
 
 def fingerprint(found: Column) -> Column:
