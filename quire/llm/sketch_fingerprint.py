@@ -163,7 +163,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     texts_ = rows.select("o", "tie", F.col("text").alias("head_text")).join(F.broadcast(ring), ["o", "tie"]).groupBy("for_b").agg(F.first("head_text").alias("head_text"))
     w = Window.partitionBy("b").orderBy(*order)
     led = rows.select("b", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
-    last = led.where("next_text is null").join(F.broadcast(texts_), F.col("b") == F.col("for_b")).select("doc_id", "text", F.col("head_text").alias("next_text"))
+    last = led.where("next_text is null").join(texts_, F.col("b") == F.col("for_b")).select("doc_id", "text", F.col("head_text").alias("next_text"))
     return led, last
 
 
