@@ -92,10 +92,20 @@ def blocks(pages_: DataFrame) -> DataFrame:
     return pages_.select("doc_id", "page_no", F.posexplode(found).alias("ord", "b")).select("doc_id", "page_no", "ord", "b.*")
 
 
+def lines_of(raw: Column) -> Column:
+    """Lines of unstructured text that aren't blank; without any, the text itself."""
+    lines = F.filter(F.transform(F.split(strip_fence(raw), "\n", -1), trim), lambda x: x != "")
+    return F.when(F.size(lines) == 0, F.array(trim(raw))).otherwise(lines)
+
+
+def line_label(line: Column) -> Column:
+    return F.when(line.startswith("#"), "title").when(is_list_item(line), "list_item").otherwise("text")
+
+
 def line_blocks(docs: DataFrame, raw: str = "raw") -> DataFrame:
-    """doc_id, ord, label, content: each line of unstructured text as a block; without lines, one empty block."""
-    lines = F.filter(F.transform(F.split(strip_fence(F.col(raw)), "\n", -1), trim), lambda x: x != "")
-    lines = F.when(F.size(lines) == 0, F.array(trim(F.col(raw)))).otherwise(lines)
-    out = docs.select("doc_id", F.posexplode(lines).alias("ord", "content"))
-    label = F.when(F.col("content").startswith("#"), "title").when(is_list_item(F.col("content")), "list_item").otherwise("text")
-    return out.select("doc_id", "ord", label.alias("label"), "content")
+    """doc_id, ord, label, content: each line of unstructured text as a block; without lines, one block of the text.
+
+    That block is a text, whatever it begins with.
+    """
+    out = docs.select("doc_id", F.posexplode(lines_of(F.col(raw))).alias("ord", "content"))
+    return out.select("doc_id", "ord", line_label(F.col("content")).alias("label"), "content")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import latex as lx
 from quire.functions import text as tx
-from quire.operators import layout, parse, render, request
+from quire.operators import layout, parse, render, request, structured
+from quire.sources import images
 
 PER_ORDER = """
     SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS INT) AS k,
@@ -159,9 +160,107 @@ def label_stats(spark, sf_dir):
     return _blocks(spark, sf_dir)[0].groupBy("label").agg(F.count("*").alias("n"), F.sum(F.when(layout.has_box(F.col("bbox")), 1).otherwise(0)).alias("boxed"))
 
 
+def json_blocks(spark, sf_dir):
+    tables(spark, sf_dir, "lineitem")
+    block = lambda i, text, box: F.concat(F.lit(f'{{"index":{i},"Label":"text","content":'), text, F.lit(',"bbox_2d":[1,'), box, F.lit(',3.9,4]}'))
+    quoted = F.concat(F.lit('"part '), F.col("p"), F.lit('"'))
+    blocks = F.concat(block(0, quoted, F.col("s")), F.lit(","), block(1, F.concat(F.lit("["), F.col("q"), F.lit(',"x"]')), F.lit('"2"')))
+    raw = F.when(F.col("k") % 3 == 0, F.concat(F.lit("```json\n[["), blocks, F.lit("],[null]]\n```"))).when(F.col("k") % 3 == 1, F.concat(F.lit("so: ["), blocks, F.lit("] ok"))).otherwise(F.concat(F.lit("# a ["), F.col("p"), F.lit("\n\n- b]")))
+    found = structured.contents(spark.sql(PER_ORDER).select(F.struct("doc_id", "k").alias("doc_id"), raw.alias("raw")))
+    return found.select("doc_id.doc_id", "doc_id.k", "page_no", "ord", "index", "label", "content", F.element_at("bbox", 2).alias("y1"), "structured")
+
+
+def tag_bbox(spark, sf_dir):
+    tables(spark, sf_dir, "lineitem")
+    tag = F.concat(F.lit(" note ["), F.col("p"), F.lit(", "), F.when(F.col("s") % 3 == 0, F.lit("x")).otherwise(F.col("s").cast("string")), F.lit(", +7, 12.7] "))
+    return spark.sql(PER_ORDER).select("doc_id", "k", parse.tag_label_box(tag).alias("t")).select("doc_id", "k", "t.label", F.get("t.bbox", F.lit(1)).alias("y1"), F.get("t.bbox", F.lit(3)).alias("y2"))
+
+
+def list_item_flags(spark, sf_dir):
+    tables(spark, sf_dir, "customer")
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("- ", "* ", "12. ", "-", "1.", "")]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return spark.table("customer").select("c_custkey", tx.is_list_item(F.concat(F.lit("  "), mark, F.col("c_name"))).alias("item"))
+
+
+def fence_strip(spark, sf_dir):
+    tables(spark, sf_dir, "customer")
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("```json\n"), F.col("c_name"), F.lit("\n```"))).otherwise(F.concat(F.lit(" "), F.col("c_name"), F.lit("\n")))
+    return spark.table("customer").select("c_custkey", parse.strip_fence(raw).alias("text"))
+
+
+def placeholder_filter(spark, sf_dir):
+    tables(spark, sf_dir, "customer")
+    text = F.element_at(F.array(F.lit(" [EMPTY] "), F.lit("(no text)"), F.col("c_name"), F.lit("[]")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return spark.table("customer").select("c_custkey", text.alias("text")).where(~tx.is_placeholder(F.col("text")))
+
+
+def page_has_bbox(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)[0]
+    return blocks.groupBy("doc_id", "page_no").agg(F.count_if(layout.has_box(F.col("bbox"))).alias("boxed"), F.count("*").alias("blocks"))
+
+
+def row_plain(spark, sf_dir):
+    tables(spark, sf_dir, "nation")
+    line = F.when(F.col("n_nationkey") % 5 == 0, "| --- |").otherwise(F.concat(F.lit("|  "), F.col("n_name"), F.lit(" || "), F.col("n_regionkey"), F.lit(" |")))
+    return spark.table("nation").select("n_nationkey", tx.row_plain(line).alias("text"))
+
+
+def data_uri(spark, sf_dir):
+    tables(spark, sf_dir, "part")
+    return spark.table("part").select("p_partkey", request.data_uri(F.lit("a.PNG"), F.encode(F.repeat("p_name", F.lit(9)), "UTF-8")).alias("uri"))
+
+
+def image_dims(spark, sf_dir):
+    tables(spark, sf_dir, "part")
+    hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(F.col("p_partkey"), 8), hexed(F.col("p_size"), 8))
+    jpeg = F.concat(F.lit("FFD8FFE00004ABCDFFC000110B"), hexed(F.col("p_size"), 4), hexed(F.col("p_partkey") % 60000, 4), F.lit("03"))
+    content = F.unhex(F.when(F.col("p_partkey") % 3 == 0, png).when(F.col("p_partkey") % 3 == 1, jpeg).otherwise("00"))
+    return spark.table("part").select("p_partkey", images.image_size(content).alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+def prompt_recipe(spark, sf_dir):
+    tables(spark, sf_dir, "customer")
+    prompt = F.element_at(F.array(F.lit(request.DEFAULT_PROMPT), F.lit("<image>own"), F.lit("own")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return spark.table("customer").select("c_custkey", request.batch_prompt(prompt, F.col("c_nationkey") % 2 + 1).alias("prompt"))
+
+
+def batch_concat(spark, sf_dir):
+    tables(spark, sf_dir, "lineitem")
+    return request.batch_concat(spark.sql(PER_ORDER).select("doc_id", F.col("k").alias("batch_no"), F.col("p").cast("string").alias("content")))
+
+
+def response_content(spark, sf_dir):
+    tables(spark, sf_dir, "customer")
+    body = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('{"choices":[{"message":{"content":"'), F.col("c_name"), F.lit('"}}]}'))).when(F.col("c_custkey") % 3 == 1, '{"choices":[]}').otherwise('{"error":{"message":"busy"}}')
+    return spark.table("customer").select("c_custkey", request.response(body).alias("r")).select("c_custkey", "r.content", "r.error")
+
+
+def _cache(spark, sf_dir):
+    tables(spark, sf_dir, "orders")
+    o = spark.table("orders")
+    pages = o.select(F.col("o_custkey").cast("string").alias("hash"), F.col("o_orderkey").alias("page_index"))
+    cache = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("hash"), F.col("o_orderkey").alias("page_index"), F.explode(F.array(F.struct(F.lit("b").alias("content"), F.lit(2).alias("seq")), F.struct(F.col("o_orderstatus").alias("content"), F.lit(1).alias("seq")))).alias("c")).select("hash", "page_index", "c.*")
+    return pages, cache
+
+
+def cache_hits(spark, sf_dir):
+    return request.cache_hits(*_cache(spark, sf_dir))
+
+
+def cache_misses(spark, sf_dir):
+    return request.cache_misses(*_cache(spark, sf_dir))
+
+
+def rotation_map(spark, sf_dir):
+    tables(spark, sf_dir, "nation")
+    return spark.table("nation").select("n_nationkey", request.rotation(F.col("n_regionkey")).alias("rotation"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     split_pages, parse_det_blocks, row_cluster, document_markdown, document_text, document_latex, json_document, parse_sibling, parse_lines, gibberish_flags, leak_flags, html_text, strip_refs,
     html_table_md, html_table_latex, latex_escape, sanitize_label, api_url, mime_by_ext, batch_assign, resume_hash, chat_request, label_stats,
+    json_blocks, tag_bbox, list_item_flags, fence_strip, placeholder_filter, page_has_bbox, row_plain, data_uri, image_dims, prompt_recipe, batch_concat, response_content, cache_hits, cache_misses, rotation_map,
 )}
 
 WHITE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -195,4 +294,34 @@ ORACLE_SQL: dict[str, str] = {
         WITH r AS ({PER_ORDER}), g AS (SELECT DISTINCT doc_id, (k - 1) // 4 + 1 AS page_no FROM r)
         SELECT doc_id, CAST((page_no - 1) // 2 AS BIGINT) AS batch_no, count(*) AS n, string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) AS pages FROM g GROUP BY ALL
     """,
+    "split_pages": f"""
+        WITH r AS ({PER_ORDER}),
+        g AS (SELECT doc_id, (k - 1) // 4 + 1 AS page_no, k = max(k) OVER (PARTITION BY doc_id) AS tail, CASE WHEN k % 4 = 1 THEN length('<|det|>title [10, 10, 900, 40]<|/det|>Order ' || doc_id || chr(10)) ELSE 0 END
+              + length(CASE WHEN p % 11 = 0 THEN '<|det|>text<|/det|>' ELSE '<|det|>text [10, ' || y || ', 200, ' || (y + CASE WHEN p % 7 = 0 THEN 60 ELSE 20 END) || ']<|/det|>' END || 'part <|ref|>' || p || '<|/ref|>' || chr(10))
+              + length('<|det|>text [300, ' || (y + p % 25) || ', 500, ' || (y + p % 25 + 20) || ']<|/det|>qty ' || q || chr(10)) AS n FROM (SELECT *, (k - 1) % 4 * 60 + 100 AS y FROM r))
+        SELECT doc_id, CAST(page_no AS INT) AS page_no, CAST(sum(n - CASE WHEN tail THEN 1 ELSE 0 END) AS BIGINT) AS chars FROM g GROUP BY ALL
+    """,
+    "json_blocks": f"""
+        WITH r AS ({PER_ORDER})
+        SELECT doc_id, k, CAST(1 AS INT) AS page_no, CAST(0 AS INT) AS ord, CAST(0 AS BIGINT) AS index, 'text' AS label, 'part ' || p AS content, s AS y1, true AS structured FROM r WHERE k % 3 < 2
+        UNION ALL SELECT doc_id, k, 1, 1, 1, 'text', q || chr(10) || 'x', NULL, true FROM r WHERE k % 3 < 2
+        UNION ALL SELECT doc_id, k, 1, 0, 0, 'title', '# a [' || p, NULL, false FROM r WHERE k % 3 = 2
+        UNION ALL SELECT doc_id, k, 1, 1, 1, 'list_item', '- b]', NULL, false FROM r WHERE k % 3 = 2
+    """,
+    "tag_bbox": f"WITH r AS ({PER_ORDER}) SELECT doc_id, k, 'note' AS label, CASE WHEN s % 3 <> 0 THEN s END AS y1, CASE WHEN s % 3 <> 0 THEN CAST(12 AS BIGINT) END AS y2 FROM r",
+    "list_item_flags": "SELECT c_custkey, c_custkey % 6 < 3 AS item FROM customer",
+    "fence_strip": "SELECT c_custkey, c_name AS text FROM customer",
+    "placeholder_filter": "SELECT c_custkey, c_name AS text FROM customer WHERE c_custkey % 4 = 2",
+    "page_has_bbox": f"""
+        WITH r AS ({PER_ORDER}) SELECT doc_id, CAST((k - 1) // 4 + 1 AS INT) AS page_no, CAST(sum(2 - CASE WHEN p % 11 = 0 THEN 1 ELSE 0 END) + 1 AS BIGINT) AS boxed, 2 * count(*) + 1 AS blocks FROM r GROUP BY ALL
+    """,
+    "row_plain": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name || '  ' || n_regionkey END AS text FROM nation",
+    "data_uri": "SELECT p_partkey, 'data:image/png;base64,' || to_base64(encode(repeat(p_name, 9))) AS uri FROM part",
+    "image_dims": "SELECT p_partkey, CAST(CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey % 60000 ELSE 0 END AS INT) AS width, CAST(CASE WHEN p_partkey % 3 < 2 THEN p_size ELSE 0 END AS INT) AS height FROM part",
+    "prompt_recipe": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_nationkey % 2 = 1 THEN '<image>Multi page parsing.' ELSE '<image>document parsing.' END ELSE '<image>own' END AS prompt FROM customer",
+    "batch_concat": f"WITH r AS ({PER_ORDER}) SELECT doc_id, string_agg(CAST(p AS VARCHAR), '<PAGE>' ORDER BY k) AS raw FROM r GROUP BY doc_id",
+    "response_content": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS content, CASE c_custkey % 3 WHEN 1 THEN 'no choices' WHEN 2 THEN 'busy' END AS error FROM customer",
+    "cache_hits": "SELECT CAST(o_custkey AS VARCHAR) AS hash, o_orderkey AS page_index, o_orderstatus AS content FROM orders WHERE o_orderkey % 3 = 0",
+    "cache_misses": "SELECT CAST(o_custkey AS VARCHAR) AS hash, o_orderkey AS page_index FROM orders WHERE o_orderkey % 3 <> 0",
+    "rotation_map": "SELECT n_nationkey, CASE WHEN n_regionkey IN (1, 2, 3) THEN n_regionkey * 90 ELSE 0 END AS rotation FROM nation",
 }
