@@ -41,10 +41,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from quire.llm.sentencepiece import decoded, encodings
+    from quire.llm.sentencepiece import encodings
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    found = decoded(encodings(documents(spark, sf_dir), path), path)
+    found = encodings(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
     return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxh64"), F.sha2("text", 256).alias("text_sha256"), "log_prob", "perturbed", "log_inclusion")
 
 

@@ -16,7 +16,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: In the code points of words, behind each word; no character has it.
 END = 0x1FFFFF
 #: Characters of texts that are worked on together; a longer text is alone.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
+#: Characters of distinct words that a worker keeps at most, before those of the next texts.
+STORE = 1_500_000
 SAMPLES, THETA, SEED = 2, 1.0, 42
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -85,24 +87,30 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(edges.values()), np.int64)[order]
         self.piece = np.array(self.piece, np.int32)
+        self.root = np.zeros(END + 1, np.int32)
+        self.root[self.keys[self.keys <= END]] = self.child[self.keys <= END]
         weight = np.zeros(n)
         weight[normal] = np.log(np.arange(1, len(normal) + 1))
         total = np.log(np.sum(1.0 / np.arange(1, len(normal) + 1)))
         self.log, self.byte_log = -weight - total, -np.log(len(normal)) - total
-        self.size = np.fromiter(map(len, out), np.int64, n)
-        self.begin = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(out), np.uint8)
+        self.bytes = out
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word as part of a text; a line feed in front keeps the model from adding a space."""
-        return [x[2:] for x in self.model.encode([f"\n{w}" for w in words], num_threads=1)]
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words as parts of a text, one after the other, and how many each has.
+
+        Line feeds keep words apart and the model from adding spaces; words that hold one are cut there again.
+        """
+        parts = [np.array(self.model.encode("\n" + "\n".join(words[i : i + 256])), np.int32)[1:] for i in range(0, len(words), 256)]
+        ids = np.concatenate([np.zeros(0, np.int32), *parts])
+        feeds = np.flatnonzero(ids == self.byte[10])
+        before = np.cumsum(np.fromiter((w.count("\n") + 1 for w in words), np.int64, len(words)))
+        apart = feeds[np.append(0, before[:-1])] if words else feeds
+        return np.delete(ids, apart), (np.diff(np.append(apart, len(ids))) - 1).astype(np.int32)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Bytes of each list of ids, without the space that encoding puts in front."""
-        size = self.size[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        data = self.bytes[np.repeat(self.begin[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-        return [data[a:b].removeprefix(b" ") for a, b in pairwise(ends[offsets].tolist())]
+        parts, at = list(map(self.bytes.__getitem__, ids.tolist())), offsets.tolist()
+        return [b"".join(parts[a:b]).removeprefix(b" ") for a, b in pairwise(at)]
 
 
 @lru_cache(1)
@@ -111,67 +119,89 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct words: edges by node, with their probabilities given the node, from left to right."""
-
-    def __init__(self, v: Vocabulary, words: list[str], theta: float) -> None:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        self.start = np.cumsum(size + 1) - size - 1
-        ends = self.start + size
-        cp = np.full(int((size + 1).sum()), END, np.int64)
+    """The lattices of distinct words: edges by node, with log-probabilities given the node, from left to right."""
+
+    def __init__(self) -> None:
+        self.start = np.zeros(0, np.int64)
+        self.inside = np.zeros(0, bool)
+        self.first = self.last = self.src = self.dst = self.id = np.zeros(0, np.int32)
+        self.log = self.cum = np.zeros(0)
+        self.odd: list[np.ndarray] = []
+
+    def extend(self, v: Vocabulary, words: list[str], theta: float) -> None:
+        """Adds words behind those that are there."""
+        size = np.fromiter(map(len, words), np.int32, len(words))
+        ends = np.cumsum(size + 1, dtype=np.int32) - 1
+        cp = np.full(int(ends[-1]) + 1 if len(ends) else 0, END, np.int64)
         inside = np.ones(len(cp), bool)
         inside[ends] = False
         cp[inside] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        self.inside = inside
-        at = np.flatnonzero(inside)
         single = np.zeros(len(cp), bool)
-        state, length, found = np.zeros(len(at), np.int64), 0, []
-        pos = at
-        while len(pos):
-            key = (state << 21) | cp[pos + length]
-            j = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            hit = v.keys[j] == key
-            pos, state, length = pos[hit], v.child[j[hit]], length + 1
+        pos = np.flatnonzero(inside).astype(np.int32)
+        state, length, found = v.root[cp[pos]].astype(np.int64), 1, []
+        pos, state = pos[state > 0], state[state > 0]
+        while len(pos) or length == 1:
+            if length > 1:
+                key = (state << 21) | cp[pos + (length - 1)]
+                j = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+                hit = v.keys[j] == key
+                pos, state = pos[hit], v.child[j[hit]]
             piece = v.piece[state]
             ok = piece >= 0
             found.append((pos[ok], piece[ok], length))
             if length == 1:
                 single[pos[ok]] = True
+            length += 1
         # a character that is no piece goes as its bytes
-        odd = np.flatnonzero(inside & ~single)
-        self.odd = [v.byte[list(chr(c).encode())] for c in cp[odd].tolist()]
-        found.append((odd, -1 - np.arange(len(odd), dtype=np.int32), 1))
+        odd = np.flatnonzero(inside & ~single).astype(np.int32)
+        found.append((odd, -1 - len(self.odd) - np.arange(len(odd), dtype=np.int32), 1))
+        bytes_ = [v.byte[list(chr(c).encode())] for c in cp[odd].tolist()]
         found.reverse()
         src = np.concatenate([x[0] for x in found])
         order = np.argsort(src, kind="stable")
-        self.src = src = src[order]
-        self.id = np.concatenate([x[1] for x in found])[order]
-        self.dst = np.concatenate([x[0] + x[2] for x in found])[order]
-        score = v.log[np.maximum(self.id, 0)]
-        sizes = np.fromiter(map(len, self.odd), np.int64, len(self.odd))
-        score[self.id < 0] = v.byte_log * sizes[-1 - self.id[self.id < 0]]
+        src = src[order]
+        ids = np.concatenate([x[1] for x in found])[order]
+        dst = np.concatenate([x[0] + np.int32(x[2]) for x in found])[order]
+        score = v.log[np.maximum(ids, 0)]
+        score[ids < 0] = v.byte_log * np.fromiter(map(len, bytes_), np.int64, len(bytes_))[-1 - len(self.odd) - ids[ids < 0]]
         score *= theta
-        count = np.bincount(src, minlength=len(cp))
-        self.first = np.cumsum(count) - count
-        self.last = self.first + count - 1
+        count = np.bincount(src, minlength=len(cp)).astype(np.int32)
+        first = np.cumsum(count, dtype=np.int32) - count
         # sums over all ways from a node to the word's end, nodes nearest to the end first
-        far = np.repeat(ends, size + 1) - np.arange(len(cp))
+        far = np.repeat(ends, size + 1) - np.arange(len(cp), dtype=np.int32)
         ways = np.zeros(len(cp))
-        kind = np.uint16 if len(far) == 0 or far.max() < 1 << 16 else np.int64
-        by = np.argsort(far[src].astype(kind), kind="stable")
+        by = np.argsort(far[src].astype(np.uint16 if far.max(initial=0) < 1 << 16 else np.int32), kind="stable")
         heads = np.flatnonzero(np.append(True, src[by][1:] != src[by][:-1])) if len(by) else by
-        node, dst, sc = src[by][heads], self.dst[by], score[by]
+        node, to, sc = src[by][heads], dst[by], score[by]
         level = far[node]
         cuts = np.flatnonzero(np.append(True, level[1:] != level[:-1])).tolist() if len(level) else []
-        for a, b in pairwise([*cuts, len(node)]) if cuts else []:
-            lo, hi = heads[a], heads[b] if b < len(heads) else len(by)
-            ways[node[a:b]] = np.logaddexp.reduceat(sc[lo:hi] + ways[dst[lo:hi]], heads[a:b] - lo)
-        self.log = np.minimum(score + ways[self.dst] - ways[src], 0.0)
-        self.log[count[src] == 1] = 0.0
-        self.p = np.exp(self.log)
-        run = np.cumsum(self.p)
-        self.cum = run - (run - self.p)[self.first[src]]
+        for x, y in pairwise([*cuts, len(node)]) if cuts else []:
+            lo, hi = heads[x], heads[y] if y < len(heads) else len(by)
+            ways[node[x:y]] = np.logaddexp.reduceat(sc[lo:hi] + ways[to[lo:hi]], heads[x:y] - lo)
+        log = np.minimum(score + ways[dst] - ways[src], 0.0)
+        log[count[src] == 1] = 0.0
+        # summed within each node, so that nothing depends on what other words there are
+        cum = np.exp(log)
+        rank = np.arange(len(src), dtype=np.int32) - first[src]
+        left, r = np.flatnonzero(rank), 1
+        while len(left):
+            here = rank[left] == r
+            now, left, r = left[here], left[~here], r + 1
+            cum[now] += cum[now - 1]
+        nodes, edges = np.int32(len(self.inside)), np.int32(len(self.src))
+        self.start = np.append(self.start, ends - size + nodes)
+        self.inside = np.append(self.inside, inside)
+        self.first, self.last = np.append(self.first, first + edges), np.append(self.last, first + count - 1 + edges)
+        self.src, self.dst, self.id = np.append(self.src, src + nodes), np.append(self.dst, dst + nodes), np.append(self.id, ids)
+        self.log, self.cum = np.append(self.log, log), np.append(self.cum, cum)
+        self.odd += bytes_
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log-probability that a step doesn't take the edge."""
         with np.errstate(divide="ignore"):
-            self.rest = np.where(count[src] == 1, -np.inf, np.log1p(-np.minimum(self.p, 1 - 2.0**-53)))
+            out = np.log1p(-np.minimum(np.exp(self.log[edges]), 1 - 2.0**-53))
+        out[self.first[self.src[edges]] == self.last[self.src[edges]]] = -np.inf
+        return out
 
     def paths(self, node: np.ndarray, base: np.ndarray, seed: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a sampled way from each node to its word's end, one after the other, and how many each has."""
@@ -212,8 +242,8 @@ class _Row:
     def __init__(self, words: tuple[int, int], seed: np.ndarray) -> None:
         self.words, self.seed, self.agenda, self.paths, self.found = words, seed, [], [], []
 
-    def add(self, lattice: Lattice, path: np.ndarray, word: np.ndarray, noise: np.ndarray, fork: tuple | None, bound: float, want: int) -> None:
-        """Takes a path as the next sample and splits what is left of its set; noise is of the steps behind the fork."""
+    def add(self, lattice: Lattice, path: np.ndarray, word: np.ndarray, noise: np.ndarray, rest: np.ndarray, fork: tuple | None, bound: float, want: int) -> None:
+        """Takes a path as the next sample and splits what is left of its set; noise and rest are of the steps behind the fork."""
         r = len(self.paths)
         self.paths.append((path, word))
         after = np.cumsum(lattice.log[path])
@@ -224,7 +254,7 @@ class _Row:
             t, taken, base = fork
             skip = t + 1
             self.put(lattice, r, t, [*taken, int(path[t])], base, bound)
-        score = before[skip:] + lattice.rest[path[skip:]] + noise
+        score = before[skip:] + rest + noise
         best = np.flatnonzero(score > -np.inf)
         if len(best) > want:
             best = best[np.argpartition(-score[best], want - 1)[:want]]
@@ -232,7 +262,7 @@ class _Row:
             self.push(r, t + skip, [int(path[t + skip])], float(before[t + skip]), float(score[t]), bound)
 
     def put(self, lattice: Lattice, r: int, t: int, taken: list[int], base: float, bound: float) -> None:
-        left = sum(lattice.p[e] for e in self.free(lattice, taken))
+        left = np.exp(lattice.log[self.free(lattice, taken)]).sum()
         if left > 0:
             u = uniform(self.seed, 3 * r + 2, np.array([t]))
             self.push(r, t, taken, base, base + float(np.log(left) + gumbel(u)[0]), bound)
@@ -272,7 +302,7 @@ def samples(lattice: Lattice, code: np.ndarray, cuts: np.ndarray, seeds: np.ndar
                 continue
             path, word = row.paths[parent]
             free = _Row.free(lattice, taken)
-            p = np.cumsum(lattice.p[free])
+            p = np.cumsum(np.exp(lattice.log[free]))
             u = uniform(row.seed, 3 * r + 3, np.array([t]))[0] * p[-1]
             edge = free[min(int(np.searchsorted(p, u, "right")), len(free) - 1)]
             which.append(np.arange(int(word[t]), row.words[1]))
@@ -286,12 +316,13 @@ def samples(lattice: Lattice, code: np.ndarray, cuts: np.ndarray, seeds: np.ndar
         edges, count = lattice.paths(node, base[w], seed[w], 3 * r + 1)
         words = np.repeat(w, count)
         noise = gumbel(uniform(seed[words], 3 * r + 2, base[words] + lattice.src[edges] + (1 << 40)))
+        rest = lattice.rest(edges)
         ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum([len(x) for x in which])])].tolist()
         for (row, _, t, taken, before, bound), fork, (a, b) in zip(todo, forks, pairwise(ends), strict=True):
             path, word = edges[a:b], words[a:b]
             if fork:
                 path, word = np.concatenate([fork[0], [fork[2]], path]), np.concatenate([fork[1], [fork[3]], word])
-            row.add(lattice, path, word, noise[a:b], (t, taken, before) if fork else None, bound, k - r)
+            row.add(lattice, path, word, noise[a:b], rest[a:b], (t, taken, before) if fork else None, bound, k - r)
         if r + 1 < k:
             todo = []
             for row in rows:
@@ -313,37 +344,76 @@ def log_inclusion(log: float, behind: float) -> float:
     return float(x if x < -36 else np.log(-np.expm1(-np.exp(x))))
 
 
-def segment(v: Vocabulary, texts_: list[str], seeds: np.ndarray, k: int, theta: float) -> tuple[list[np.ndarray], list]:
-    """For each text its encoding and its samples."""
-    found = [WORD.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts_]
-    cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-    known = pa.array([w for x in found for w in x], pa.large_string()).dictionary_encode()
-    del found
-    words, code = known.dictionary.to_pylist(), known.indices.to_numpy().astype(np.int64)
-    own = v.encode(words)
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    flat, start = np.array([i for x in own for i in x], np.int32), np.cumsum(size) - size
-    each = size[code]
-    ends = np.concatenate([[0], np.cumsum(each)])
-    ids = flat[np.repeat(start[code] - ends[:-1], each) + np.arange(ends[-1])]
-    encoded = np.split(ids, ends[cuts[1:-1]]) if len(texts_) > 1 else [ids]
-    return encoded, samples(Lattice(v, words, theta), code, cuts, seeds, k) if k else [[] for _ in texts_]
+class Segmenter:
+    """Encodes and samples texts, with a bounded store of the words of earlier ones."""
+
+    def __init__(self, v: Vocabulary, theta: float, nodes: int = STORE) -> None:
+        self.v, self.theta, self.nodes = v, theta, nodes
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[str, int] = {}
+        self.lattice = Lattice()
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        ids, size = self.v.encode(words)
+        self.size, self.flat = np.append(self.size, size), np.append(self.flat, ids)
+        self.lattice.extend(self.v, words, self.theta)
+        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        if new := list(dict.fromkeys(w for w in words if w not in self.code)):
+            self.learn(new)
+        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts_: list[str], seeds: np.ndarray, k: int) -> tuple[list[np.ndarray], list]:
+        """For each text its encoding and its samples."""
+        if len(self.lattice.inside) > self.nodes:
+            self.clear()
+        # texts with runs of spaces are cut by the pattern, all others at each space; a line feed within a word does no harm
+        odd = [i for i, t in enumerate(texts_) if "  " in t or SPACE in t or t[:1] in ("", " ") or t[-1:] == " "]
+        own = {i: WORD.findall((SPACE + texts_[i]).replace(" ", SPACE)) if texts_[i] else [] for i in odd}
+        lists = pc.split_pattern(pa.array([None if i in own else t for i, t in enumerate(texts_)], pa.large_string()), " ")
+        count = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        known = lists.flatten().dictionary_encode()
+        code = self.codes([SPACE + w for w in known.dictionary.to_pylist()])[known.indices.to_numpy()]
+        del lists, known
+        if odd:
+            here = np.cumsum(count)[odd] - count[odd]
+            count[odd] = [len(own[i]) for i in odd]
+            code = np.insert(code, np.repeat(here, count[odd]), self.codes(list(chain.from_iterable(own.values()))))
+        cuts = np.concatenate([[0], np.cumsum(count)])
+        each, start = self.size[code].astype(np.int64), (np.cumsum(self.size, dtype=np.int64) - self.size)[code]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = self.flat[np.repeat(start - ends[:-1], each) + np.arange(ends[-1])]
+        encoded = np.split(ids, ends[cuts[1:-1]]) if len(texts_) > 1 else [ids]
+        return encoded, samples(self.lattice, code, cuts, seeds, k) if k else [[] for _ in texts_]
+
+
+@lru_cache(1)
+def segmenter(path: str, theta: float) -> Segmenter:
+    """One for each worker, whatever the number of its tasks."""
+    return Segmenter(vocabulary(path), theta)
 
 
+NAMES = ["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion", "text"]
 SCHEMA = "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 
 
-def encodings(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, seed: int = SEED) -> DataFrame:
+def encodings(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, seed: int = SEED, decode: bool = False) -> DataFrame:
     """doc_id, rank, ids, log_prob, perturbed, log_inclusion: for each row of docs its encoding, of rank 0 and without
     scores, and up to k distinct sampled segmentations, of rank 1 and up in descending order of perturbed.
 
+    With decode, text too, that the ids stand for: as decoded() makes it, but in the same process.
+
     theta is the inverse temperature of log-probabilities. Rows of one doc_id and text get the same samples; those
     without doc_id share a key. A null or empty text has no ids and one segmentation, which is certain. A text with
     fewer segmentations than k gives all, each certain. An empty table gives no rows.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        segment = segmenter(path, theta)
         for batch in batches:
             doc, text = batch.column(0).to_pylist(), batch.column(1)
             size = np.cumsum(pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -351,17 +421,26 @@ def encodings(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA
             while at < len(doc):
                 end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, "right")))
                 seeds = np.array([xxhash.xxh64_intdigest(str(d), seed) for d in doc[at:end]], np.uint64)
-                out = segment(v, text.slice(at, end - at).to_pylist(), seeds, k, theta)
+                out = segment(text.slice(at, end - at).to_pylist(), seeds, k)
                 flat = [(d, i, *x) for d, e, s in zip(doc[at:end], *out, strict=True) for i, x in enumerate([(e, None, None, None), *s])]
                 del out
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x[2]) for x in flat])]).astype(np.int32), np.concatenate([x[2] for x in flat]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), lists, *[pa.array([x[i] for x in flat], pa.float64()) for i in (3, 4, 5)]],
-                    names=["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion"],
-                )
+                columns = [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), lists, *[pa.array([x[i] for x in flat], pa.float64()) for i in (3, 4, 5)]]
+                del flat
+                if decode:
+                    columns.append(_texts(segment.v.decode(lists.values.to_numpy(), lists.offsets.to_numpy())))
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
+                del columns, lists
                 at = end
 
-    return texts(docs).mapInArrow(rows, SCHEMA)
+    return texts(docs).mapInArrow(rows, SCHEMA + ", text string" if decode else SCHEMA)
+
+
+def _texts(data: list[bytes]) -> pa.Array:
+    try:
+        return pa.array(data, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode(errors="replace") for x in data], pa.string())
 
 
 def decoded(encoded: DataFrame, path: str) -> DataFrame:
@@ -382,11 +461,7 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
             at = 0
             while at < len(sizes):
                 end = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
-                data = v.decode(flat[ends[at] : ends[end]], ends[at : end + 1] - ends[at])
-                try:
-                    text = pa.array(data, pa.binary()).cast(pa.string())
-                except pa.ArrowInvalid:
-                    text = pa.array([x.decode(errors="replace") for x in data], pa.string())
+                text = _texts(v.decode(flat[ends[at] : ends[end]], ends[at : end + 1] - ends[at]))
                 part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, "text"])
                 at = end

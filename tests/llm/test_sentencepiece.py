@@ -6,10 +6,14 @@ import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 
-from quire.llm.sentencepiece import SPACE, decoded, encodings, segment, vocabulary
+from quire.llm.sentencepiece import SPACE, Segmenter, decoded, encodings, vocabulary
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
-TEXTS = ["", " ", "  a ", "the cats", "a\n\tb  c\n\n d", "Ünïcode 日本語 \U0001f600 ﬁ\x00", "x" * 3000, "word " * 2000, "of\n", "\n"]
+TEXTS = ["", " ", "  a ", "the cats", "a\n\tb  c\n\n d", "Ünïcode 日本語 \U0001f600 ﬁ\x00", "x" * 3000, "word " * 2000, "of\n", "\n", "a\nb c", "\n\nx y\n z"]
+
+
+def segment(texts, seeds, k):
+    return Segmenter(vocabulary(PATH), 1.0)(texts, np.array(seeds, np.uint64), k)[1]
 
 
 def ways(text):
@@ -41,6 +45,8 @@ def test_encoding_is_the_models_and_round_trips(spark):
     rows = list(enumerate([*TEXTS, *more]))
     docs = spark.createDataFrame([(*x, 7, "x") for x in rows], "doc_id long, text string, ids int, rank string")
     got = decoded(encodings(docs, PATH, 4), PATH).collect()
+    once = encodings(docs, PATH, 4, decode=True).collect()
+    assert sorted((x.doc_id, x.rank, x.text) for x in once) == sorted((x.doc_id, x["rank"], x.text) for x in got)
     for x in got:
         assert x.text == rows[x.doc_id][1]
         if x.rank == 0:
@@ -56,7 +62,7 @@ def test_encoding_is_the_models_and_round_trips(spark):
 def test_log_probabilities_are_those_of_brute_force(text):
     every = ways(text)
     k = len(every) + 2
-    got = segment(vocabulary(PATH), [text] * 3, np.array([1, 2, 3], np.uint64), k, 1.0)[1]
+    got = segment([text] * 3, [1, 2, 3], k)
     for own in got:
         assert {tuple(x[0].tolist()) for x in own} == set(every)
         for ids, log, _, inclusion in own:
@@ -67,7 +73,7 @@ def test_samples_follow_the_distribution_without_replacement():
     text, n = "tin", 20000
     every = ways(text)
     p = {k: math.exp(x) for k, x in every.items()}
-    got = segment(vocabulary(PATH), [text] * n, np.arange(n, dtype=np.uint64) * 7919 + 5, 2, 1.0)[1]
+    got = segment([text] * n, np.arange(n) * 7919 + 5, 2)
     first, pair, estimate = dict.fromkeys(p, 0), dict.fromkeys(p, 0), 0.0
     for own in got:
         a, b = (tuple(x[0].tolist()) for x in own)
@@ -83,11 +89,12 @@ def test_samples_follow_the_distribution_without_replacement():
 
 
 def test_seeded_by_key_whatever_the_batch():
-    v = vocabulary(PATH)
-    many = segment(v, ["some words here", "other ones", "some words here"], np.array([5, 6, 7], np.uint64), 3, 1.0)[1]
-    for i, t in enumerate(["some words here", "other ones", "some words here"]):
-        alone = segment(v, [t], np.array([5 + i], np.uint64), 3, 1.0)[1][0]
-        assert [(x[0].tolist(), *x[1:]) for x in alone] == [(x[0].tolist(), *x[1:]) for x in many[i]]
+    data = ["some words here", "other ones", "some words here"]
+    many = segment(data, [5, 6, 7], 3)
+    kept = Segmenter(vocabulary(PATH), 1.0, 5)
+    for i, t in enumerate(data):
+        for alone in (segment([t], [5 + i], 3)[0], kept([t], np.array([5 + i], np.uint64), 3)[1][0]):
+            assert [(x[0].tolist(), *x[1:]) for x in alone] == [(x[0].tolist(), *x[1:]) for x in many[i]]
 
 
 def test_nulls_repeats_and_empty(spark):
