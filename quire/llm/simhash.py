@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, texts
+from quire.llm.common import materialize, shuffle_partitions, texts
 from quire.llm.components import components
 
 SEED = 42
@@ -181,55 +181,117 @@ def simhash_groups(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates for a pipeline: fingerprints of words find candidates, those of five-word shingles verify them.
+# Near duplicates for a pipeline: MinHash bands of five-word shingle sets find candidates of similarity 0.8.
 
-FAMILIES = 8
-SHINGLE, SIMILAR = 5, 0.8
-SIGNATURE = 4
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
+SHINGLE = 5
+#: Keys of a set, and minima in each: a pair of similarity 0.8 shares one with 0.99995, of 0.5 with 0.55.
+BANDS, WIDTH = 25, 5
+#: Equal minima of all that a candidate needs; a pair of similarity 0.8 has 100 of 125 on average, 79 at 4.7 deviations less.
+AGREE = 79
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * WIDTH), np.uint64)
 
 
-def _family(h: np.ndarray, i: int) -> np.ndarray:
-    x = (h ^ _MIX[i]) * _MIX[(i + 3) % 8]
+def minima(sets: np.ndarray) -> np.ndarray:
+    """The least of each permutation's values over a set of hashes."""
+    turn, odd = _DRAWN[0][:, None], _DRAWN[1][:, None] | np.uint64(1)
+    least = np.full(BANDS * WIDTH, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(sets), 512):
+        x = (sets[None, at : at + 512] ^ turn) * odd
+        x ^= x >> np.uint64(32)
+        x *= odd
+        np.minimum(least, x.min(1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    x = ((least ^ (least >> np.uint64(31))) * (_DRAWN[2] | np.uint64(1))).reshape(BANDS, WIDTH).sum(1, dtype=np.uint64)
     x ^= x >> np.uint64(29)
-    x *= _MIX[(i + 5) % 8]
-    return x ^ (x >> np.uint64(32))
+    return (x * np.uint64(0xD6E8FEB86659FD93) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
 
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(hashes(shingles(text, SHINGLE))).astype(np.uint64)
 
-def allowed_bits(similarity: float = SIMILAR, bits: int = 64 * SIGNATURE, slack: float = 1.5) -> int:
-    """Differing bits that signatures of sets of this Jaccard similarity have, and slack standard deviations more."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
+
+def set_node(sets: np.ndarray) -> int:
+    """One number for equal sets."""
+    h = xxhash.xxh64_intdigest(sets.tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _pairs(rows: DataFrame, rest: bool) -> DataFrame:
+    """a, b: nodes that share a key and could be similar: the key's first node and another, or all others of two roots.
+
+    rows: k, node, n (the size of the set), sig, and root when `rest`.
+    """
+    cols = ["k", "node", "n", "sig", *(["root"] if rest else [])]
+
+    def found(batches):
+        for start, table in _groups(batches, "k"):
+            node, n = table["node"].to_numpy(), table["n"].to_numpy()
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+
+            def near(i, j, n=n, sig=sig):
+                fits = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+                return fits & ((sig[i] == sig[j]).sum(-1) >= AGREE)
+
+            size = np.diff(np.append(start, len(node)))
+            first = np.repeat(start, size)
+            if not rest:
+                j = np.flatnonzero(np.arange(len(node)) != first)
+                j = j[near(first[j], j)]
+                pairs = [(node[first[j]], node[j])]
+            else:
+                root, pairs = table["root"].to_numpy(), [(node[:0], node[:0])]
+                mixed = np.add.reduceat(root != root[first], start) > 0
+                for g in np.flatnonzero(mixed & (size > 2)).tolist():
+                    end = start[g] + size[g]
+                    for i in range(start[g] + 1, end - 1):
+                        j = np.arange(i + 1, end)
+                        j = j[root[i + 1 : end] != root[i]]
+                        j = j[near(i, j)]
+                        pairs.append((np.full(len(j), node[i]), node[j]))
+            a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    n = shuffle_partitions(rows.sparkSession)
+    return rows.select(*cols).repartition(n, "k").sortWithinPartitions("k", "node").mapInArrow(found, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id for each doc_id of docs: near copies share a component.
 
-    Candidates agree to within three bits in one of eight 64-bit fingerprints of their sets of words; a link needs
-    256-bit fingerprints of their sets of five-word shingles to be as close as those of sets of similarity 0.8.
+    Candidates share one of 25 keys, each of five minima of their sets of five-word shingles. First each key's nodes
+    are held against the smallest; then, of nodes that these links leave apart, each against each.
     Texts under five words have their whole sequence as shingle. Rows of one doc_id are in one component.
     """
-    limit = allowed_bits()
 
     def rows(batches):
         for batch in batches:
-            out = ([], [], [])
+            out = ([], [], [], [])
             for text in batch.column(1).to_pylist():
-                words = np.unique(hashes(list(set(text.translate(LOWER).split())))).astype(np.uint64)
-                sets = np.unique(hashes(shingles(text, SHINGLE))).astype(np.uint64)
-                out[0].append(np.concatenate([majority(_family(words, i)) for i in range(FAMILIES)]).tolist())
-                out[1].append(np.concatenate([majority(_family(sets, i)) for i in range(SIGNATURE)]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary())], names=["doc_id", "fps", "extra"])
-
-    signed = materialize(texts(docs).where("doc_id is not null").select("doc_id", F.col("text").cast("binary")).mapInArrow(rows, "doc_id long, fps array<long>, extra binary"))
-    # rows with all the same fingerprints are one node, whatever their number
-    node = signed.select("doc_id", "fps", "extra", F.xxhash64("fps", "extra").alias("node"))
-    nodes = node.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("extra").alias("extra"))
-
-    def close(a, b):
-        return np.bitwise_count(a ^ b).sum(-1) <= limit
-
-    roots = components(links(nodes.select("node", F.posexplode("fps").alias("fam", "fp"), "extra"), 3, close))
+                sets = shingle_set(text)
+                least = minima(sets)
+                out[0].append(set_node(sets))
+                out[1].append(len(sets))
+                out[2].append((least >> np.uint64(24)).astype(np.uint8).tobytes())
+                out[3].append(band_keys(least))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(out[0]) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), keys], names=["doc_id", "node", "n", "sig", "ks"])
+
+    own = texts(docs).where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    node = materialize(own.mapInArrow(rows, "doc_id long, node long, n long, sig binary, ks array<long>"))
+    # rows with the same set are one node, whatever their number
+    nodes = node.groupBy("node").agg(F.min("doc_id").alias("least"))
+    keyed = node.dropDuplicates(["node"]).select("node", F.explode("ks").alias("k"))
+    counts = keyed.groupBy("k").agg(F.count("*").alias("members")).where("members > 1").select("k")
+    traits = node.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    shared = materialize(keyed.join(counts, "k").join(traits, "node"))
+    found = materialize(_pairs(shared, False))
+    roots = components(found)
+    apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = materialize(_pairs(apart, True))
+    roots = components(found.unionByName(more))
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(best, "root").select("node", "component_id")

@@ -84,3 +84,19 @@ def test_near_duplicates(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_groups(docs).count() == near_duplicate_groups(docs).count() == 0
+
+
+def test_near_duplicates_edited_in_one_place(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    rows, near = [], {}
+    for d in range(60):
+        base = some(400)
+        rows.append((d, " ".join(base)))
+        edits = {1000: base + some(80), 2000: base[:340], 3000: base[:150] + some(32) + base[182:], 4000: some(70) + base}
+        for at, edit in edits.items():
+            rows.append((at + d, " ".join(edit)))
+            near[at + d] = d
+    got = {x.doc_id: x.component_id for x in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d for d in range(60)} | near
