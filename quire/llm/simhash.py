@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, shuffle_partitions, texts
+from quire.llm.common import materialize, release, shuffle_partitions, texts
 from quire.llm.components import components
 
 SEED = 42
@@ -258,11 +258,51 @@ def _pairs(rows: DataFrame, rest: bool) -> DataFrame:
     return rows.select(*cols).repartition(n, "k").sortWithinPartitions("k", "node").mapInArrow(found, "a long, b long").distinct()
 
 
+def similar(pairs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: the pairs whose shingle sets have Jaccard similarity 0.8 or more, exactly.
+
+    own: doc_id, text; nodes: node and least, a doc_id that has it. Sets are made again of the texts that pairs need,
+    and the sets of all b that an a has go past it one by one.
+    """
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "set"])
+
+    def kept(batches):
+        now, x = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = ([], [])
+            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                y = np.frombuffer(raw.as_buffer(), np.uint64)
+                if b is None:
+                    now, x = a, y.copy()
+                    continue
+                assert now == a
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 9 * common >= 4 * (len(x) + len(y)):
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    of = own.join(nodes.join(wanted, "node").select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    made = materialize(of.select("text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+    firsts = pairs.select("a").distinct().join(made, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "set")
+    seconds = pairs.join(made, F.col("b") == F.col("node")).select("a", "b", "set")
+    n = shuffle_partitions(pairs.sparkSession)
+    out = materialize(firsts.unionByName(seconds).repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(kept, "a long, b long"))
+    release(made)
+    return out
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, component_id for each doc_id of docs: near copies share a component.
 
     Candidates share one of 25 keys, each of five minima of their sets of five-word shingles. First each key's nodes
-    are held against the smallest; then, of nodes that these links leave apart, each against each.
+    are held against the smallest; then, of nodes that these links leave apart, each against each. A pair links only
+    if its sets have similarity 0.8 or more.
     Texts under five words have their whole sequence as shingle. Rows of one doc_id are in one component.
     """
 
@@ -287,10 +327,10 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     counts = keyed.groupBy("k").agg(F.count("*").alias("members")).where("members > 1").select("k")
     traits = node.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     shared = materialize(keyed.join(counts, "k").join(traits, "node"))
-    found = materialize(_pairs(shared, False))
+    found = similar(materialize(_pairs(shared, False)), own, nodes)
     roots = components(found)
     apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = materialize(_pairs(apart, True))
+    more = similar(materialize(_pairs(apart, True)), own, nodes)
     roots = components(found.unionByName(more))
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

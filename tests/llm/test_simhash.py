@@ -100,3 +100,18 @@ def test_near_duplicates_edited_in_one_place(spark):
             near[at + d] = d
     got = {x.doc_id: x.component_id for x in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d for d in range(60)} | near
+
+
+def test_near_duplicates_link_at_exact_similarity_alone(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    base = [r.choice(words) for _ in range(404)]
+    # of 400 shingles the first 320 are all that is left in one, 319 in another; both are in the first's text
+    rows = [(0, " ".join(base)), (10, " ".join(base[:324])), (30, "a b c d e"), (31, "A b\nc d e"), (32, "a b c d f")]
+    other = [r.choice(words) for _ in range(404)]
+    rows += [(20, " ".join(other)), (21, " ".join(other[:323]))]
+    # two texts under 0.8 of each other that a third in between links
+    line = [r.choice(words) for _ in range(504)]
+    rows += [(40, " ".join(line[:424])), (41, " ".join(line[40:464])), (42, " ".join(line[80:504]))]
+    got = {x.doc_id: x.component_id for x in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 10: 0, 20: 20, 21: 21, 30: 30, 31: 30, 32: 32, 40: 40, 41: 40, 42: 40}
