@@ -21,14 +21,31 @@ FINGERPRINT_CELLS = 12
 ROUNDS = 12
 #: Digests of a part, of both versions.
 PART = 8
-#: Texts shorter than this have their words as paragraphs.
+#: Texts shorter than this have their words as paragraphs; clauses of this length are cut into chunks.
 SHORT = 256
+#: Words longer than this are cut too.
+WORD = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def chunks(clause: Column) -> Column:
+    """A long clause's runs of words, cut behind words that their own hashes choose; overlong words are cut likewise."""
+    chosen = lambda x: F.when(F.pmod(F.xxhash64(x), F.lit(8)) == 0, F.concat(x, F.lit("\n"))).otherwise(x)
+    letters = lambda w: F.array_join(F.transform(F.split(w, ""), chosen), "")
+    words = F.transform(F.split(clause, r"\s+"), lambda w: F.when(F.length(w) > WORD, letters(w)).otherwise(chosen(w)))
+    return F.split(F.array_join(words, " "), r"\n\x20?")
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines, cut behind punctuation; of short texts the words."""
+    """Lines, cut behind punctuation, and chunks of what is long without it; of short texts the words."""
     parts = F.when(F.length(text) < SHORT, F.split(text, r"\s+")).otherwise(F.split(text, r"(?<=[.,;:!?|])\s+|\n+"))
-    return F.filter(parts, lambda p: p != "")
+    long = lambda p: F.length(p) >= SHORT
+    cut = let(parts, lambda ps: F.when(F.exists(ps, long), F.flatten(F.transform(ps, lambda p: F.when(long(p), chunks(p)).otherwise(F.array(p))))).otherwise(ps))
+    return F.filter(cut, lambda p: p != "")
 
 
 def digests(text: Column) -> Column:
@@ -36,11 +53,6 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def table(found: Column, cells: int) -> Column:
     """Cells of digests d with signs n: found is an array of struct<d, n>."""
     placed = F.transform(

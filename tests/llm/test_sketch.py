@@ -44,3 +44,16 @@ def test_repeats_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (None, None)], "doc_id long, text string")
     assert fingerprints(docs).count() == 5
     assert fingerprints(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sep", [" ", ""])
+def test_long_texts_without_punctuation(spark, sep):
+    r = random.Random(7)
+    unit = [f"w{i}" for i in range(900)] if sep else [chr(0x4E00 + i) for i in range(900)]
+    a = [r.choice(unit) for _ in range(1200)]
+    b = list(a)
+    b[600] = unit[0]
+    rows = [(3, sep.join(a)), (2, sep.join(b)), (1, sep.join(r.choice(unit) for _ in range(1200)))]
+    got = {x.doc_id: x for x in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3].near_next > 0.9 and got[2].near_next < 0.2
+    assert all(0.3 < got[d].near_edited < 1 for d in (2, 1))
