@@ -40,29 +40,60 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(value, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def base_spans(text: Column) -> Column:
-    """Spans of the four kinds, by kind and start."""
+def with_context(found: Column) -> Column:
+    """Matches, with the word before each in the text, whether or not it belongs to another match."""
+
+    def item(all_: Column, x: Column, i: Column) -> Column:
+        gap = F.right(F.regexp_replace(x["gap"], r"\s++$", ""), F.lit(64))
+        prior = F.when(gap != "", gap).otherwise(F.coalesce(F.right(F.get(all_, i - 1)["m"], F.lit(64)), F.lit("")))
+        before = F.element_at(F.split(F.rtrim(F.translate(prior, DOT + GAP, ". ")), r"\s+"), -1)
+        return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.translate(x["m"], DOT + GAP, ". ").alias("m"), F.lower(before).alias("context"))
+
+    # the matches are made once, not for each of them
+    return F.flatten(F.transform(F.array(found), lambda all_: F.transform(all_, lambda x, i: item(all_, x, i))))
+
+
+def base_found(text: Column) -> Column:
+    """Matches of the four kinds, by kind and start: kind, s, e, m, context."""
     digit = text.rlike("[0-9]")
     dotted = F.regexp_replace(_plain(text, DOT), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
     email = F.when(F.contains(text, F.lit("@")), matches(dotted, EMAIL, 0)).otherwise(none())
-    ip = F.when(digit & text.rlike(r"[0-9]\.[0-9]"), F.filter(matches(text, IP, 1), lambda x: x["m"].rlike(OCTETS))).otherwise(none())
+    ip = F.when(digit & text.rlike(r"[0-9]\.[0-9]"), matches(text, IP, 1)).otherwise(none())
     joined = F.regexp_replace(_plain(text, GAP), "(?<=[0-9])[ -](?=[0-9])", GAP)
-    card = F.when(digit, F.filter(matches(joined, CARD, 2), lambda x: F.length(_digits(x["m"])).between(16, 19) & luhn(_digits(x["m"])))).otherwise(none())
-    phone = F.when(F.contains(text, F.lit("+")), F.filter(matches(text, PHONE, 3), lambda x: F.length(_digits(x["m"])).between(8, 15))).otherwise(none())
-    return F.concat(bare(email), bare(ip), bare(card), bare(phone))
+    card = F.when(digit, matches(joined, CARD, 2)).otherwise(none())
+    phone = F.when(F.contains(text, F.lit("+")), matches(text, PHONE, 3)).otherwise(none())
+    return F.concat(
+        with_context(email),
+        F.filter(with_context(ip), lambda x: x["m"].rlike(OCTETS)),
+        F.filter(with_context(card), lambda x: F.length(_digits(x["m"])).between(16, 19) & luhn(_digits(x["m"]))),
+        F.filter(with_context(phone), lambda x: F.length(_digits(x["m"])).between(8, 15)),
+    )
 
 
-def instances(text: Column) -> Column:
-    """Words that could be values, with the word before: s, e, value, context."""
+def instances(text: Column, base: Column) -> Column:
+    """What could be a value, with the word before: s, e, value, context.
+
+    Whole spans of base, words, and runs of words of digits with single spaces between.
+    """
     found = F.when(text.rlike("[0-9@]"), matches(text, TOKEN, 0)).otherwise(none())
+    run = F.regexp_replace(_plain(text, GAP), r"(?<=[0-9)])\x20(?=[(]?[0-9])", GAP)
+    runs = F.when(text.rlike(r"[0-9)]\x20[(]?[0-9]"), matches(run, TOKEN, 0)).otherwise(none())
 
     def item(x: Column) -> Column:
         lead = F.length(F.regexp_extract(x["m"], r"^[^A-Za-z0-9+@(]*+", 0))
         value = F.regexp_replace(F.substring(x["m"], lead + 1, F.length(x["m"])), r"[^A-Za-z0-9)]++$", "")
-        before = F.element_at(F.split(F.rtrim(F.right(F.regexp_replace(x["gap"], r"\s++$", ""), F.lit(64))), r"\s+"), -1)
-        return F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.length(value)).alias("e"), value.alias("value"), F.lower(before).alias("context"))
+        return F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.length(value)).alias("e"), value.alias("value"), x["context"].alias("context"))
+
+    def free(xs: Column, base: Column) -> Column:
+        return F.filter(xs, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+
+    def joined(base: Column) -> Column:
+        whole = F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("value"), x["context"].alias("context")))
+        spaced = F.filter(F.transform(with_context(runs), item), lambda x: F.contains(x["value"], F.lit(" ")))
+        return F.concat(whole, free(F.filter(F.concat(F.transform(with_context(found), item), spaced), long), base))
 
-    return F.filter(F.transform(found, item), lambda x: (F.length(x["value"]) >= 5) & (x["context"] != ""))
+    long = lambda x: (F.length(x["value"]) >= 5) & (x["context"] != "")
+    return F.filter(F.flatten(F.transform(F.array(base), joined)), long)
 
 
 def discovered(seen: DataFrame, rounds: int = 3, trust: float = 0.8, support: int = 5) -> DataFrame:
@@ -97,13 +128,17 @@ def pii_spans(docs: DataFrame, rounds: int = 3, trust: float = 0.8, support: int
     none of them. Equal texts get equal spans, and each repeated row its own. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(rows.select("doc_id", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("base"), instances(F.col("text")).alias("inst")))
+    rows = rows.select("doc_id", "text", base_found(F.col("text")).alias("found"))
+    rows = materialize(rows.select("doc_id", F.xxhash64("text").alias("key"), bare(F.col("found")).alias("base"), instances(F.col("text"), F.col("found")).alias("inst")))
     one = F.explode("inst").alias("i")
     each = rows.where(F.size("inst") > 0).dropDuplicates(["key"]).select("key", "base", one).select(
         "key", "i.*", F.filter("base", lambda b: (b["s"] < F.col("i.e")) & (b["e"] > F.col("i.s"))).alias("over"))
     each = materialize(each.select("key", "s", "e", "value", "context", shape(F.col("value")).alias("shape"), F.get("over", F.lit(0))["kind"].alias("kind"), (F.size("over") > 0).alias("based")))
     new = discovered(each, rounds, trust, support)
     added = each.where("not based").drop("kind").join(new, "value").groupBy("key").agg(F.collect_list(F.struct("kind", "s", "e")).alias("added"))
+    # of a run and a word of it, the run
+    inside = lambda x: F.exists("added", lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"]))
+    added = added.select("key", F.filter("added", lambda x: ~inside(x)).alias("added"))
     joined = rows.select("doc_id", "key", "base").join(added, "key", "left").withColumn("all", F.concat("base", F.coalesce("added", bare(none()))))
     by_kind = F.array_sort("all")
     return joined.select("doc_id", *[count(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(listed(F.array_sort("base"), KINDS), 256).alias("base_sha256"), listed(by_kind, KINDS).alias("spans"))

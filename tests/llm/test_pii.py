@@ -54,3 +54,24 @@ def test_contexts_discover_values(spark):
 
 def test_empty(spark):
     assert pii_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_contexts_of_values_with_spaces(spark):
+    rows = [(i, f"x{i}y fon: +1 (017) 555-77{i:02d} some more") for i in range(20)]
+    rows += [(30 + i, f"room 7b{i} ring2 +1 (018) 555-88{i:02d}") for i in range(20)]
+    rows += [(60 + i, f"a{i} pan 4111 1111 1111 1111, {i}") for i in range(3)]
+    # eight digits at least make a phone by form; seven are found by the word before alone
+    rows += [(100, "see fon: +1 (017) 5-77 now"), (101, "see desk +1 (017) 5-78 now"), (102, "ring2 +1 (018) 5-99")]
+    cards = [f"{n:04d} 0000 0000 00" for n in range(4000, 4100)]
+    cards = [c + next(f"{k:02d}" for k in range(100) if _luhn(c + f"{k:02d}")) for c in cards]
+    rows += [(200 + i, f"card {c} ok") for i, c in enumerate(cards)] + [(400, "card 4000 0000 0000 1234 ok"), (401, "desk 4000 0000 0000 1234 no")]
+    got = {r.doc_id: r.spans for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "phone:9:26"
+    assert got[100] == "phone:9:22" and got[102] == "phone:6:19"
+    assert got[400] == "card:5:24"
+    # once known, a value is known everywhere, but not another of the same form behind other words
+    assert got[401] == "card:5:24" and got[101] == ""
+
+
+def _luhn(card):
+    return luhn(card.replace(" ", ""))
