@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,26 +24,45 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run meanwhile go as soon as each query ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a written table, then lets go of the shuffle files that only its plan held."""
+    """Cuts lineage with a written table, whose query's shuffle files go with it.
+
+    The table goes with release(), or when the driver ends, as a result that is not yet evaluated may read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    for _ in range(2):  # the first finds the plan's objects dead, the second the shuffles that they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-    out = spark.read.schema(schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    fs, hadoop = file_system(spark, path)
+    fs.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out
 
@@ -48,11 +70,29 @@ def materialize(df: DataFrame) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Deletes tables of materialize() once later ones hold all that is needed of them."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._quire_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = file_system(df.sparkSession, df._quire_path)
+        fs.delete(path, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that clash with none of those taken, in any case."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def slices(batch: pa.RecordBatch, text: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about limit bytes in its column `text`; a longer text is a part of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import texts
+from quire.llm.common import slices, texts
 
 #: Texts of these characters alone are NFC already and have simple lower cases.
 PLAIN = re.compile(r"[ \n\r\t!-~À-ÖØ-öø-ÿ]*")
@@ -89,16 +88,6 @@ class WordTokenizer:
         return b"".join(out)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about limit bytes of text; a longer text is a part of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 class BinTree:
     """A tournament tree over bins: each inner node holds the most room of any bin below it."""
 
