@@ -1,8 +1,9 @@
 import hashlib
 import random
 import re
+from dataclasses import replace
 
-from quire.llm.secret_scan import redact, scan, secret_spans
+from quire.llm.secret_scan import RULES, Ledger, redact, secret_spans
 
 RX = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -36,13 +37,41 @@ def test_base_spans(spark):
                 assert set(filter(None, base(t)[4].split(","))) <= set(spans.split(","))
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
-    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
-    ledger = spark.createDataFrame(scan(docs.where("doc_id < 60")).collect(), scan(docs).schema)
-    fresh = scan(docs, ledger)
-    assert fresh.join(ledger, ["blob", "rule"]).count() == 0
-    assert fresh.count() + ledger.count() == scan(docs).count()
-    assert sorted(map(str, secret_spans(docs, ledger).collect())) == sorted(map(str, secret_spans(docs).collect()))
+def test_second_version_scans_unseen_blobs_and_rules_alone(spark, tmp_path):
+    """Two versions of a table: the second scan reads changed texts only, a new rule version all blobs for that rule only."""
+    rows = corpus()
+    edited = [(d, t if d % 5 else f"{t} token=edited{d}") for d, t in rows]
+    first, second = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows, edited))
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    blob = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    keys = [r.key for r in RULES]
+    one = ledger.update(first).collect()
+    assert sorted(r.blob for r in one) == sorted({blob(t) for _, t in rows})
+    assert all(r.rules == keys for r in one) and any(not r.found for r in one)  # clean blobs are kept too
+    two = ledger.update(second).collect()
+    assert sorted(r.blob for r in two) == sorted({blob(t) for _, t in edited} - {r.blob for r in one})
+    assert ledger.update(second).count() == ledger.update(first).count() == 0
+    newer = (*RULES[:2], replace(RULES[2], version=2), *RULES[3:])
+    three = ledger.update(second, newer).collect()
+    assert all(r.rules == ["hex@2"] for r in three) and sorted(r.blob for r in three) == sorted({blob(t) for _, t in edited})
+    for docs in (first, second):
+        assert sorted(map(str, secret_spans(docs, ledger).collect())) == sorted(map(str, secret_spans(docs).collect()))
+
+
+def test_whole_private_keys_go(spark):
+    body = "\n".join(["MIIEowIBAAKCAQEA" + "x7/+" * 12] * 5)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    header = f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}\n-----END PRIVATE KEY-----"
+    cut = f"-----BEGIN EC PRIVATE KEY-----\n{body}"
+    texts = [f"a {key} b", f"{header}\nafter", f"{cut}\n\nand prose goes on", f"{key}\n{key}", "-----BEGIN PRIVATE KEY----- " * 2000]
+    got = [r.text for r in redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[:4] == ["a [SECRET] b", "[SECRET]\nafter", "[SECRET]\n\nand prose goes on", "[SECRET]\n[SECRET]"]
+    assert "KEY" not in got[4]
+
+
+def test_redaction_keeps_columns_with_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef12", "b", [1], "c")], "doc_id long, text string, blob string, Found array<int>, clean string")
+    assert [tuple(r) for r in redact(docs).collect()] == [(1, "[SECRET]", "b", [1], "c")]
 
 
 def test_redaction(spark):
