@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, shuffle_partitions, texts
+from quire.llm.common import fresh, materialize, shuffle_partitions, texts
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -56,12 +56,14 @@ class Bloom:
 class LsmIndex:
     """(digest, text) -> smallest identifier and count, in bounded memory.
 
-    Entries are equal only when their bytes are; two texts of one digest stay two entries.
+    Entries are equal only when their bytes are; two texts of one digest stay two entries. Runs are in a folder of the
+    task's own, for the time of the task: a task that is tried again builds them anew.
     """
 
     def __init__(self, folder: str, memtable_bytes: int = 32 << 20) -> None:
         self.folder, self.limit = Path(folder), memtable_bytes
         self.memtable: dict[tuple[bytes, bytes], list] = {}
+        self.digests: set[bytes] = set()
         self.held = 0
         self.runs: list[tuple[Path, Bloom]] = []
 
@@ -69,6 +71,7 @@ class LsmIndex:
         entry = self.memtable.get((digest, text))
         if entry is None:
             self.memtable[digest, text] = [doc_id, n]
+            self.digests.add(digest)
             self.held += len(text) + 200
             if self.held >= self.limit:
                 self.flush()
@@ -86,6 +89,7 @@ class LsmIndex:
                 pickle.dump((*key, *self.memtable[key]), f, pickle.HIGHEST_PROTOCOL)
         self.runs.append((path, bloom))
         self.memtable, self.held = {}, 0
+        self.digests.clear()
 
     @staticmethod
     def _read(path: Path) -> Iterator[tuple]:
@@ -96,17 +100,33 @@ class LsmIndex:
                 except EOFError:
                     return
 
+    def _claimed(self, digest: bytes, but: int = -1) -> bool:
+        """Whether another run may hold the digest: its filter says so, or the memtable has it."""
+        return digest in self.digests or any(digest in bloom for i, (_, bloom) in enumerate(self.runs) if i != but)
+
     def seen(self, digest: bytes) -> bool:
         """Whether a digest is in the index; filters spare the reading of runs that lack it."""
-        if any(key[0] == digest for key in self.memtable):
-            return True
-        return any(digest in bloom and any(e[0] == digest for e in self._read(path)) for path, bloom in self.runs)
+        return digest in self.digests or any(digest in bloom and any(e[0] == digest for e in self._read(path)) for path, bloom in self.runs)
 
     def compact(self) -> Iterator[tuple[bytes, bytes, int | None, int]]:
-        """All entries in order, runs merged."""
+        """All entries, those of one digest together: first what no other run's filter claims, run by run, then the rest merged.
+
+        Claimed entries are put aside as they are read, so each run is read once, and only they are compared byte for byte.
+        """
+        contested: list[Path] = []
+        for i, (path, _) in enumerate(self.runs):
+            aside = self.folder / f"contested-{i}"
+            with aside.open("wb") as f:
+                for e in self._read(path):
+                    if self._claimed(e[0], i):
+                        pickle.dump(e, f, pickle.HIGHEST_PROTOCOL)
+                    else:
+                        yield e
+            contested.append(aside)
+            path.unlink()
         newest = ((*k, *self.memtable[k]) for k in sorted(self.memtable))
         last = None
-        for e in heapq.merge(*(self._read(p) for p, _ in self.runs), newest, key=lambda e: e[:2]):
+        for e in heapq.merge(*(self._read(p) for p in contested), newest, key=lambda e: e[:2]):
             if last is not None and last[:2] == e[:2]:
                 last = (*last[:2], smaller(last[2], e[2]), last[3] + e[3])
                 continue
@@ -196,3 +216,20 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
         exact = clashing.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
         out = out.unionByName(members.join(exact, ["digest", "text_sha256"]))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of docs for each text, all columns as they are: that with the smallest doc_id, where null is the largest.
+
+    Texts are equal as in exact_duplicates. Of rows that repeat a doc_id and its text one stays; other texts of that
+    doc_id stay too. Rows meet by digest and doc_id, so that many copies of a text are no hot key.
+    """
+    d, i, null, other = fresh(docs.columns, "digest", "id", "null", "other")
+    index = materialize(build_index(texts(docs), sha256))
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    key = lambda c: (F.coalesce(c, F.lit(-1)).alias(i), c.isNull().alias(null))
+    kept = index.select(F.col("digest").alias(d), *key(F.col("keep_id")), F.col("text").alias(other))
+    rows = docs.select("*", F.unhex(F.sha2(norm, 256)).alias(d), *key(F.col("doc_id").cast("long"))).join(kept, [d, i, null])
+    # where one digest has several texts, a row meets them all
+    rows = rows.where(F.col(other).isNull() | (F.col(other) == norm.cast("binary")))
+    return rows.dropDuplicates([d, i, null, other]).select(docs.columns)
