@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, release, shuffle_partitions, texts
+from quire.llm.common import fresh, materialize, release, shuffle_partitions, slices, texts
 from quire.llm.components import components
 
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp: the majority fingerprint of each row's k-word shingles, repeats included; zero without words."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             fp = np.array([fingerprint(t, k) for t in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
@@ -261,12 +261,12 @@ def _pairs(rows: DataFrame, rest: bool) -> DataFrame:
 def similar(pairs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: the pairs whose shingle sets have Jaccard similarity 0.8 or more, exactly.
 
-    own: doc_id, text; nodes: node and least, a doc_id that has it. Sets are made again of the texts that pairs need,
-    and the sets of all b that an a has go past it one by one.
+    own: doc_id, text, digest; nodes: node and least, a row that has it. Sets are made again of the texts that pairs
+    need, and the sets of all b that an a has go past it one by one.
     """
 
     def sets(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             found = [shingle_set(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "set"])
 
@@ -287,7 +287,8 @@ def similar(pairs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    of = own.join(nodes.join(wanted, "node").select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = nodes.join(wanted, "node").select(F.col("least.null").alias("null"), F.coalesce("least.doc_id", F.lit(-1)).alias("i"), F.col("least.digest").alias("digest"))
+    of = own.select("text", "digest", F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(-1)).alias("i")).join(rows.distinct(), ["null", "i", "digest"], "left_semi")
     made = materialize(of.select("text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
     firsts = pairs.select("a").distinct().join(made, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "set")
     seconds = pairs.join(made, F.col("b") == F.col("node")).select("a", "b", "set")
@@ -298,16 +299,17 @@ def similar(pairs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id for each doc_id of docs: near copies share a component.
+    """doc_id, digest, component_id, kept: for each doc_id and text of docs once; near copies share a component.
 
-    Candidates share one of 25 keys, each of five minima of their sets of five-word shingles. First each key's nodes
-    are held against the smallest; then, of nodes that these links leave apart, each against each. A pair links only
-    if its sets have similarity 0.8 or more.
-    Texts under five words have their whole sequence as shingle. Rows of one doc_id are in one component.
+    digest: md5 of the text. component_id is the component's smallest doc_id, where null is the largest; one row of each
+    component is kept, that of the smallest doc_id, then digest. Candidates share one of 25 keys, each of five minima of
+    their sets of five-word shingles. First each key's nodes are held against the smallest; then, of nodes that these
+    links leave apart, each against each. A pair links only if its sets have similarity 0.8 or more.
+    Texts under five words have their whole sequence as shingle; a null text is empty. An empty table gives no rows.
     """
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = ([], [], [], [])
             for text in batch.column(1).to_pylist():
                 sets = shingle_set(text)
@@ -317,22 +319,40 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
                 out[2].append((least >> np.uint64(24)).astype(np.uint8).tobytes())
                 out[3].append(band_keys(least))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(out[0]) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), keys], names=["doc_id", "node", "n", "sig", "ks"])
-
-    own = texts(docs).where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    node = materialize(own.mapInArrow(rows, "doc_id long, node long, n long, sig binary, ks array<long>"))
-    # rows with the same set are one node, whatever their number
-    nodes = node.groupBy("node").agg(F.min("doc_id").alias("least"))
-    keyed = node.dropDuplicates(["node"]).select("node", F.explode("ks").alias("k"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), keys], names=["doc_id", "digest", "node", "n", "sig", "ks"])
+
+    own = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"), F.md5("text").alias("digest"))
+    node = materialize(own.mapInArrow(rows, "doc_id long, digest string, node long, n long, sig binary, ks array<long>"))
+    # rows with the same set are one node, whatever their number; the least row stands for it
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")
+    nodes = materialize(node.groupBy("node").agg(F.min(first).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("ks").alias("ks")))
+    keyed = nodes.select("node", "n", "sig", F.explode("ks").alias("k"))
     counts = keyed.groupBy("k").agg(F.count("*").alias("members")).where("members > 1").select("k")
-    traits = node.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    shared = materialize(keyed.join(counts, "k").join(traits, "node"))
-    found = similar(materialize(_pairs(shared, False)), own, nodes)
+    shared = materialize(keyed.join(counts, "k"))
+    candidates = materialize(_pairs(shared, False))
+    found = similar(candidates, own, nodes)
     roots = components(found)
     apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = similar(materialize(_pairs(apart, True)), own, nodes)
+    rest = materialize(_pairs(apart, True))
+    more = similar(rest, own, nodes)
+    release(candidates, rest, shared)
     roots = components(found.unionByName(more))
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select("node", "component_id")
-    return node.select("doc_id", "node").join(named, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    rooted = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    named = rooted.join(best, "root").select("node", "best")
+    each = node.select("doc_id", "digest", "node").dropDuplicates(["doc_id", "digest"])
+    release(found, more)
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    return each.join(named, "node").select("doc_id", "digest", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicate_groups keeps, all columns as they are.
+
+    Rows are told apart by doc_id and text, so that other texts of a doc_id stay; rows that repeat both stay together.
+    """
+    i, null, digest = fresh(docs.columns, "id", "null", "digest")
+    key = lambda c, d: (F.coalesce(c, F.lit(-1)).alias(i), c.isNull().alias(null), d.alias(digest))
+    gone = near_duplicate_groups(docs).where("not kept").select(*key(F.col("doc_id"), F.col("digest")))
+    rows = docs.select("*", *key(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit("")))))
+    return rows.join(gone, [i, null, digest], "left_anti").select(docs.columns)

@@ -77,6 +77,7 @@ def test_near_duplicates(spark):
         near[100 + d] = d
     rows += [(500, None), (None, "x"), (501, ""), (502, "one two")]
     got = {x.doc_id: x.component_id for x in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[None] is None
     assert all(got[d] == d for d in range(40)) and got[502] == 502 and got[501] == 500
     assert sum(got[a] == b for a, b in near.items()) >= 38
 
