@@ -219,57 +219,119 @@ def set_node(sets: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _pairs(rows: DataFrame, rest: bool) -> DataFrame:
-    """a, b: nodes that share a key and could be similar: the key's first node and another, or all others of two roots.
+def _near(sig: np.ndarray, n: np.ndarray, i, j) -> np.ndarray:
+    """Whether signatures and sizes leave a similarity of 0.8 possible."""
+    fits = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+    return fits & ((sig[i] == sig[j]).sum(-1) >= AGREE)
 
-    rows: k, node, n (the size of the set), sig, and root when `rest`.
-    """
-    cols = ["k", "node", "n", "sig", *(["root"] if rest else [])]
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def _by_key(rows: DataFrame, *cols: str) -> DataFrame:
+    return rows.select("k", "node", *cols).repartition(shuffle_partitions(rows.sparkSession), "k").sortWithinPartitions("k", "node")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """a, b: each key's first node and another that could be similar. rows: k, node, n (the size of the set), sig."""
 
     def found(batches):
         for start, table in _groups(batches, "k"):
-            node, n = table["node"].to_numpy(), table["n"].to_numpy()
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+            node, n, sig = table["node"].to_numpy(), table["n"].to_numpy(), _signatures(table)
+            first = np.repeat(start, np.diff(np.append(start, len(node))))
+            j = np.flatnonzero(np.arange(len(node)) != first)
+            j = j[_near(sig, n, first[j], j)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[first[j]], pa.int64()), pa.array(node[j], pa.int64())], names=["a", "b"])
 
-            def near(i, j, n=n, sig=sig):
-                fits = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-                return fits & ((sig[i] == sig[j]).sum(-1) >= AGREE)
+    return _by_key(rows, "n", "sig").mapInArrow(found, "a long, b long").distinct()
 
-            size = np.diff(np.append(start, len(node)))
-            first = np.repeat(start, size)
-            if not rest:
-                j = np.flatnonzero(np.arange(len(node)) != first)
-                j = j[near(first[j], j)]
-                pairs = [(node[first[j]], node[j])]
-            else:
-                root, pairs = table["root"].to_numpy(), [(node[:0], node[:0])]
-                mixed = np.add.reduceat(root != root[first], start) > 0
-                for g in np.flatnonzero(mixed & (size > 2)).tolist():
-                    end = start[g] + size[g]
-                    for i in range(start[g] + 1, end - 1):
-                        j = np.arange(i + 1, end)
-                        j = j[root[i + 1 : end] != root[i]]
-                        j = j[near(i, j)]
-                        pairs.append((np.full(len(j), node[i]), node[j]))
-            a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    n = shuffle_partitions(rows.sparkSession)
-    return rows.select(*cols).repartition(n, "k").sortWithinPartitions("k", "node").mapInArrow(found, "a long, b long").distinct()
-
-
-def similar(pairs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: the pairs whose shingle sets have Jaccard similarity 0.8 or more, exactly.
 
-    own: doc_id, text, digest; nodes: node and least, a row that has it. Sets are made again of the texts that pairs
-    need, and the sets of all b that an a has go past it one by one.
+def apart(rows: DataFrame) -> DataFrame:
+    """k, node, root: of keys that hold several roots, the nodes that could be similar to one of another root.
+
+    Each node goes out once for a key, whatever the number of its candidates. The key's first node is left out, as
+    stars() has it with all others.
     """
 
+    def found(batches):
+        for start, table in _groups(batches, "k"):
+            node, n, sig, root = table["node"].to_numpy(), table["n"].to_numpy(), _signatures(table), table["root"].to_numpy()
+            size = np.diff(np.append(start, len(node)))
+            mixed = np.add.reduceat(root != np.repeat(root[start], size), start) > 0
+            open_ = np.zeros(len(node), bool)
+            for g in np.flatnonzero(mixed & (size > 2)).tolist():
+                end = start[g] + size[g]
+                for i in range(start[g] + 1, end - 1):
+                    j = np.arange(i + 1, end)
+                    j = j[root[i + 1 : end] != root[i]]
+                    j = j[_near(sig, n, i, j)]
+                    open_[j] = True
+                    open_[i] |= len(j) > 0
+            yield table.filter(pa.array(open_)).select(["k", "node", "root"]).combine_chunks().to_batches()[0] if open_.any() else pa.RecordBatch.from_pylist([], table.select(["k", "node", "root"]).schema)
+
+    return _by_key(rows, "n", "sig", "root").mapInArrow(found, "k long, node long, root long")
+
+
+def set_forest(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of exact similarity of 0.8 or more that connect all roots of a group that such pairs connect."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(size) - size
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(ids.max(initial=-1) + 1, np.int64)
+    left, out = np.ones(len(sets), bool), []
+    while left.any():
+        front = np.flatnonzero(root == root[np.argmax(left)]).tolist()
+        left[front] = False
+        while front and left.any():
+            i = front.pop()
+            own = ids[start[i] : start[i] + size[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[ids], start)
+            mark[own] = 0
+            for j in np.flatnonzero(left & (9 * common >= 4 * (size + size[i]))).tolist():
+                if left[j]:
+                    out.append((i, j))
+                    more = np.flatnonzero(left & (root == root[j]))
+                    left[more] = False
+                    front += more.tolist()
+    return out
+
+
+def forests(rows: DataFrame) -> DataFrame:
+    """a, b: pairs of exact similarity of 0.8 or more, a forest for each key. rows: k, node, root, set."""
+
+    def found(batches):
+        for start, table in _groups(batches, "k"):
+            node, root, raw = table["node"].to_numpy(), table["root"].to_numpy(), table["set"].to_pylist()
+            pairs = []
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(node)], strict=True):
+                if b - a > 1:
+                    pairs += [(node[a + i], node[a + j]) for i, j in set_forest([np.frombuffer(x, np.uint64) for x in raw[a:b]], root[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return _by_key(rows, "root", "set").mapInArrow(found, "a long, b long").distinct()
+
+
+def sets_of(wanted: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set of the nodes wanted, made again of the texts of their least rows. own: doc_id, text, digest; nodes: node, least."""
+
     def sets(batches):
         for batch in (part for whole in batches for part in slices(whole, 0)):
             found = [shingle_set(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "set"])
 
+    rows = nodes.join(wanted.distinct(), "node").select(F.col("least.null").alias("null"), F.coalesce("least.doc_id", F.lit(-1)).alias("i"), F.col("least.digest").alias("digest"))
+    of = own.select("text", "digest", F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(-1)).alias("i")).join(rows.distinct(), ["null", "i", "digest"], "left_semi")
+    return materialize(of.select("text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+
+
+def similar(pairs: DataFrame, own: DataFrame, nodes: DataFrame, share: int = 64) -> DataFrame:
+    """a, b: the pairs whose shingle sets have Jaccard similarity 0.8 or more, exactly.
+
+    The sets of all b that an a has go past it one by one; an a with over `share` of them is in several places.
+    """
+
     def kept(batches):
         now, x = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -286,14 +348,14 @@ def similar(pairs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = nodes.join(wanted, "node").select(F.col("least.null").alias("null"), F.coalesce("least.doc_id", F.lit(-1)).alias("i"), F.col("least.digest").alias("digest"))
-    of = own.select("text", "digest", F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(-1)).alias("i")).join(rows.distinct(), ["null", "i", "digest"], "left_semi")
-    made = materialize(of.select("text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
-    firsts = pairs.select("a").distinct().join(made, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "set")
-    seconds = pairs.join(made, F.col("b") == F.col("node")).select("a", "b", "set")
+    made = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), own, nodes)
+    parts = F.ceil(F.col("partners") / share)
+    dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("partners")), "a").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("s"))
+    firsts = dealt.select("a", "s").distinct().join(made, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "set", "s")
+    seconds = dealt.join(made, F.col("b") == F.col("node")).select("a", "b", "set", "s")
     n = shuffle_partitions(pairs.sparkSession)
-    out = materialize(firsts.unionByName(seconds).repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(kept, "a long, b long"))
+    rows = firsts.unionByName(seconds).repartition(n, "a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
+    out = materialize(rows.select("a", "b", "set").mapInArrow(kept, "a long, b long"))
     release(made)
     return out
 
@@ -303,8 +365,9 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
     digest: md5 of the text. component_id is the component's smallest doc_id, where null is the largest; one row of each
     component is kept, that of the smallest doc_id, then digest. Candidates share one of 25 keys, each of five minima of
-    their sets of five-word shingles. First each key's nodes are held against the smallest; then, of nodes that these
-    links leave apart, each against each. A pair links only if its sets have similarity 0.8 or more.
+    their sets of five-word shingles. First each key's nodes are held against the smallest; then those that could be
+    similar to one that these links leave apart go, with their sets, to their keys again, from which a forest of links
+    goes out. A pair links only if its sets have similarity 0.8 or more.
     Texts under five words have their whole sequence as shingle; a null text is empty. An empty table gives no rows.
     """
 
@@ -329,13 +392,13 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     keyed = nodes.select("node", "n", "sig", F.explode("ks").alias("k"))
     counts = keyed.groupBy("k").agg(F.count("*").alias("members")).where("members > 1").select("k")
     shared = materialize(keyed.join(counts, "k"))
-    candidates = materialize(_pairs(shared, False))
+    candidates = materialize(stars(shared))
     found = similar(candidates, own, nodes)
     roots = components(found)
-    apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialize(_pairs(apart, True))
-    more = similar(rest, own, nodes)
-    release(candidates, rest, shared)
+    rest = materialize(apart(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
+    sets = sets_of(rest.select("node"), own, nodes)
+    more = materialize(forests(rest.join(sets, "node")))
+    release(candidates, rest, shared, sets)
     roots = components(found.unionByName(more))
     rooted = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import xxhash
 
 from quire.llm.components import components
-from quire.llm.simhash import links, near_duplicate_groups, simhash_groups
+from quire.llm.simhash import links, near_duplicate_groups, set_forest, simhash_groups
 
 
 def reference(rows):
@@ -116,3 +117,33 @@ def test_near_duplicates_link_at_exact_similarity_alone(spark):
     rows += [(40, " ".join(line[:424])), (41, " ".join(line[40:464])), (42, " ".join(line[80:504]))]
     got = {x.doc_id: x.component_id for x in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 10: 0, 20: 20, 21: 21, 30: 30, 31: 30, 32: 32, 40: 40, 41: 40, 42: 40}
+
+
+def test_forest_connects_what_exact_pairs_connect():
+    r = random.Random(6)
+    base = np.array(sorted(r.sample(range(10_000), 60)), np.uint64)
+    sets = []
+    for _ in range(80):
+        drop = set(r.sample(range(60), r.choice([2, 5, 9, 20])))
+        sets.append(np.unique(np.append(base[[i for i in range(60) if i not in drop]], np.array(r.sample(range(10_000, 20_000), r.choice([0, 3, 8])), np.uint64))))
+    root = np.array([r.choice([i, 0, 1]) for i in range(80)])
+
+    def classes(pairs):
+        up = list(range(80))
+        for a, b in [*pairs, *((i, j) for i in range(80) for j in range(i) if root[i] == root[j])]:
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        out = []
+        for i in range(80):
+            while up[i] != i:
+                i = up[i]
+            out.append(i)
+        return out
+
+    close = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+    every = [(i, j) for i in range(80) for j in range(i) if close(i, j)]
+    made = set_forest(sets, root)
+    assert all(close(i, j) for i, j in made) and classes(made) == classes(every) and len(made) < 80
