@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,22 @@ def tokenizer(path: str) -> WordTokenizer:
 class WordTokenizer:
     """Ids of whole texts, with a bounded store of ids by word: no token crosses white space in this vocabulary."""
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 120_000) -> None:
         from tokenizers import Tokenizer, normalizers
 
-        self.full, self.short = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.short = path, Tokenizer.from_file(path)
+        self.mark = self.short.encode(MARK, add_special_tokens=False).ids
         self.short.normalizer = normalizers.Sequence([])
         self.limit = limit
         self.store: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
-        self.mark = self.full.encode(MARK, add_special_tokens=False).ids
+
+    @cached_property
+    def full(self):
+        """With its normalizer, for texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def learn(self, words: list[str]) -> None:
         """Encodes new lower-case words, many at a time with marks between."""
