@@ -123,7 +123,7 @@ class Scorer:
         if not found:
             return 0.0, 0.0
         known = self.known
-        if len(known) > 200_000:
+        if len(known) > 100_000:
             known.clear()
         try:
             total = sum(map(known.__getitem__, found))
@@ -172,7 +172,7 @@ def _words_of(batches):
     for batch in batches:
         for text in batch.column(0).to_pylist():
             found.update(words(text))
-            if len(found) > 200_000:
+            if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, (_, t) in zip((found.keys(), found.values()), names, strict=True)], schema=pa.schema(names))
                 found.clear()
     yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, (_, t) in zip((found.keys(), found.values()), names, strict=True)], schema=pa.schema(names))
@@ -191,7 +191,7 @@ def _triples_of(batches):
         for toxic, half, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             w = words(text)
             found.update(zip(repeat(toxic), repeat(half), [b"", b"", *w], [b"", *w], w, strict=False))
-            if len(found) > 200_000:
+            if len(found) > 50_000:
                 yield rows()
                 found.clear()
     yield rows()
