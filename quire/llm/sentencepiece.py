@@ -53,8 +53,42 @@ def gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
+class Table:
+    """Numbers by key, in open addressing with at most a quarter of the places taken."""
+
+    def __init__(self, items: dict[int, int]) -> None:
+        bits = (4 * len(items)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.value = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys, values = np.array(list(items), np.int64), np.array(list(items.values()), np.int32)
+        at = self._at(keys)
+        while len(keys):
+            free = self.key[at] < 0
+            self.key[at[free]] = keys[free]  # of several for one place, the last
+            placed = self.key[at] == keys
+            self.value[at[placed]] = values[placed]
+            keys, values, at = keys[~placed], values[~placed], (at[~placed] + 1) & self.mask
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _A) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        at = self._at(keys)
+        found = self.key[at]
+        out = np.where(found == keys, self.value[at], np.int32(-1))
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            here = self.key[at[open_]]
+            hit = here == keys[open_]
+            out[open_[hit]] = self.value[at[open_[hit]]]
+            open_ = open_[~hit & (here >= 0)]
+        return out
+
+
 class Vocabulary:
-    """The pieces of a model file: a trie in sorted arrays, log-probabilities and bytes."""
+    """The pieces of a model file: a trie in a table, log-probabilities and bytes."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -83,17 +117,19 @@ class Vocabulary:
                 if state == len(self.piece):
                     self.piece.append(-1)
             self.piece[state] = i
-        keys = np.array(list(edges), np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array(list(edges.values()), np.int64)[order]
+        self.edges = Table(edges)
         self.piece = np.array(self.piece, np.int32)
         self.root = np.zeros(END + 1, np.int32)
-        self.root[self.keys[self.keys <= END]] = self.child[self.keys <= END]
+        for c, state in edges.items():
+            if c <= END:
+                self.root[c] = state
         weight = np.zeros(n)
         weight[normal] = np.log(np.arange(1, len(normal) + 1))
         total = np.log(np.sum(1.0 / np.arange(1, len(normal) + 1)))
         self.log, self.byte_log = -weight - total, -np.log(len(normal)) - total
-        self.bytes = out
+        self.bytes = np.frombuffer(b"".join(out), np.uint8)
+        self.sizes = np.fromiter(map(len, out), np.int64, n)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words as parts of a text, one after the other, and how many each has.
@@ -109,8 +145,10 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Bytes of each list of ids, without the space that encoding puts in front."""
-        parts, at = list(map(self.bytes.__getitem__, ids.tolist())), offsets.tolist()
-        return [b"".join(parts[a:b]).removeprefix(b" ") for a, b in pairwise(at)]
+        size = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.bytes[np.repeat(self.starts[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        return [data[a:b].removeprefix(b" ") for a, b in pairwise(ends[offsets].tolist())]
 
 
 @lru_cache(1)
@@ -142,10 +180,9 @@ class Lattice:
         pos, state = pos[state > 0], state[state > 0]
         while len(pos) or length == 1:
             if length > 1:
-                key = (state << 21) | cp[pos + (length - 1)]
-                j = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-                hit = v.keys[j] == key
-                pos, state = pos[hit], v.child[j[hit]]
+                child = v.edges.get((state << 21) | cp[pos + (length - 1)])
+                hit = child >= 0
+                pos, state = pos[hit], child[hit].astype(np.int64)
             piece = v.piece[state]
             ok = piece >= 0
             found.append((pos[ok], piece[ok], length))
