@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import html_rows, html_text
+from quire.functions.text import html_rows, html_text, let
 
 # Characters and what LaTeX has for them, in the order of replacement.
 UNICODE = [
@@ -23,8 +23,13 @@ ESCAPES = [
     ("\\", "\\textbackslash "), ("%", "\\%"), ("&", "\\&"), ("$", "\\$"), ("_", "\\_"), ("{", "\\{"), ("}", "\\}"), ("#", "\\#"),
     ("~", "\\textasciitilde "), ("^", "\\textasciicircum "), ("<", "\\textless "), (">", "\\textgreater "),
 ]
+# What stands before and behind the rows of a table.
 TABLE_HEAD = "\\begin{table}[h]\n\\centering\n\\sbox{\\tblbox}{%\n\\small\n"
-TABLE_TAIL = "\\hline\n\\end{tabular}%\n}\n\\ifdim\\wd\\tblbox>\\linewidth\n  \\resizebox{\\linewidth}{!}{\\usebox{\\tblbox}}%\n\\else\n  \\usebox{\\tblbox}%\n\\fi\n\\end{table}\n"
+TABLE_TAIL = (
+    "\\hline\n\\end{tabular}%\n}\n"
+    "\\ifdim\\wd\\tblbox>\\linewidth\n  \\resizebox{\\linewidth}{!}{\\usebox{\\tblbox}}%\n"
+    "\\else\n  \\usebox{\\tblbox}%\n\\fi\n\\end{table}\n"
+)
 
 
 def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -34,33 +39,38 @@ def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def unicode_latex(c: Column) -> Column:
-    return F.regexp_replace(_replaced(c, UNICODE), r"\p{IsHan}", "")
+    whole = F.regexp_replace(_replaced(c, UNICODE), r"\p{IsHan}", "")
+    return F.when(c.rlike("[^\x00-\x7f]"), whole).otherwise(c)  # nothing of it is ASCII
 
 
 def escape(c: Column) -> Column:
-    return _replaced(c, ESCAPES)
+    return F.when(c.rlike(r"[\\%&$_{}#~^<>]"), _replaced(c, ESCAPES)).otherwise(c)
 
 
 def escape_math(c: Column) -> Column:
     """Escapes all but what stands between \\( and \\)."""
-    parts = F.split(unicode_latex(c), r"\\\(", -1)
 
     def part(p: Column, i: Column) -> Column:
         end = F.locate("\\)", p)
         math = F.concat(F.lit("\\("), F.substring(p, F.lit(1), end + 1), escape(F.substring(p, end + 2, F.length(p))))
         return F.when(i == 0, escape(p)).when(end > 0, math).otherwise(escape(F.concat(F.lit("\\("), p)))
 
-    return F.array_join(F.transform(parts, part), "")
+    return F.array_join(F.transform(F.split(unicode_latex(c), r"\\\(", -1), part), "")
+
+
+def table_head(width: Column) -> Column:
+    return F.concat(F.lit(TABLE_HEAD + "\\begin{tabular}{"), F.array_join(F.array_repeat(F.lit("l"), width), " "), F.lit("}\n\\hline\n"))
 
 
 def html_table_latex(c: Column) -> Column:
-    rows = html_rows(c)
-    width = F.array_max(F.transform(rows, F.size))
+    def made(rows: Column) -> Column:
+        def whole(width: Column) -> Column:
+            def line(r: Column, i: Column) -> Column:
+                cells = F.concat(F.transform(r, escape_math), F.array_repeat(F.lit(""), width - F.size(r)))
+                return F.concat(F.array_join(cells, " & "), F.lit(" \\\\ \\relax\n"), F.when(i == 0, "\\hline\n").otherwise(""))
+
+            return F.concat(table_head(width), F.array_join(F.transform(rows, line), ""), F.lit(TABLE_TAIL))
 
-    def line(r: Column, i: Column) -> Column:
-        cells = F.concat(F.transform(r, escape_math), F.array_repeat(F.lit(""), width - F.size(r)))
-        return F.concat(F.array_join(cells, " & "), F.lit(" \\\\ \\relax\n"), F.when(i == 0, "\\hline\n").otherwise(""))
+        return F.when(F.size(rows) == 0, escape_math(html_text(c))).otherwise(let(F.array_max(F.transform(rows, F.size)), whole))
 
-    body = F.array_join(F.transform(rows, line), "")
-    made = F.concat(F.lit(TABLE_HEAD + "\\begin{tabular}{"), F.array_join(F.array_repeat(F.lit("l"), width), " "), F.lit("}\n\\hline\n"), body, F.lit(TABLE_TAIL))
-    return F.when(F.size(rows) == 0, escape_math(html_text(c))).otherwise(made)
+    return let(html_rows(c), made)

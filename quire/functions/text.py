@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ GIBBERISH_ALL = ["水平", "0 0"]
 STYLES = ["italic", "bold", "regular", "underline", "italian", "roman"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
 
@@ -53,18 +60,23 @@ def strip_references(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, pair, "$1"), "(?i)<[|/]*ref[|/]*>", "")
 
 
-def is_gibberish(c: Column) -> Column:
-    low = F.lower(c)
-    parts = fields(low)
-    numbers = F.size(F.filter(parts, lambda p: p.rlike(r"^[0-9.\-]*$")))
-    zeros = F.size(F.filter(parts, lambda p: p.isin("0", "00", "000")))
-    long = (F.size(parts) > 10) & (((numbers > 8) & (numbers / F.size(parts) > 0.7)) | (zeros >= 4))
+def _gibberish(low: Column) -> Column:
+    def run(parts: Column) -> Column:
+        numbers = F.size(F.filter(parts, lambda p: p.rlike(r"^[0-9.\-]*$")))
+        zeros = F.size(F.filter(parts, lambda p: p.isin("0", "00", "000")))
+        return (F.size(parts) > 10) & (((numbers > 8) & (numbers / F.size(parts) > 0.7)) | (zeros >= 4))
+
+    # eleven fields take 21 characters
+    long = F.when(F.length(low) > 20, let(fields(low), run)).otherwise(False)
     return any_of(low, GIBBERISH) | all_of(low, GIBBERISH_ALL) | (count_of(low, "\\(") >= 4) | long
 
 
+def is_gibberish(c: Column) -> Column:
+    return let(F.lower(c), _gibberish)
+
+
 def is_leaked(c: Column) -> Column:
-    low = F.lower(c)
-    return any_of(low, LEAKS) | all_of(low, LEAK_ALL) | is_gibberish(c)
+    return let(F.lower(c), lambda low: any_of(low, LEAKS) | all_of(low, LEAK_ALL) | _gibberish(low))
 
 
 def is_placeholder(c: Column) -> Column:
@@ -95,17 +107,25 @@ def html_text(c: Column) -> Column:
     return trim(out)
 
 
+#: The next cell, with nothing ahead of it that opens one; where a cell has no end, no match begins.
+CELL = r"(?is)\G(?:(?!<t[dh]).)*+(<td[^>]*>.*?</td>|<th[^>]*>.*?</th>)"
+
+
 def html_rows(c: Column) -> Column:
-    """Cells of each bare <tr> row, an array of arrays; rows without cells are left out."""
+    """Cells of each bare <tr> row, an array of arrays; rows without cells are left out.
+
+    A row's cells end at the first that is opened and has no end tag of its kind.
+    """
     rows = F.regexp_extract_all(c, F.lit(r"(?is)<tr>(.*?)</tr>"), F.lit(1))
-    cell = r"(?is)<td[^>]*>.*?</td>|<th[^>]*>.*?</th>"
-    return F.filter(F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(0)), html_text)), lambda r: F.size(r) > 0)
+    return F.filter(F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(CELL), F.lit(1)), html_text)), lambda r: F.size(r) > 0)
 
 
 def html_table_markdown(c: Column) -> Column:
-    rows = html_rows(c)
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    head = F.get(rows, F.lit(0))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(head, lambda _: F.lit("---")), " | "), F.lit(" |"))
-    lines = F.concat(F.array(line(head), rule), F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line))
-    return F.when(F.size(rows) == 0, c).otherwise(F.array_join(lines, "\n"))
+
+    def made(rows: Column) -> Column:
+        rule = line(F.transform(F.get(rows, F.lit(0)), lambda _: F.lit("---")))
+        lines = F.transform(rows, lambda r, i: F.when(i == 0, F.concat(line(r), F.lit("\n"), rule)).otherwise(line(r)))
+        return F.when(F.size(rows) == 0, c).otherwise(F.array_join(lines, "\n"))
+
+    return let(html_rows(c), made)

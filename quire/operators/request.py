@@ -33,6 +33,18 @@ def batch_prompt(prompt: Column, size: Column) -> Column:
     return F.when(prompt.isin(DEFAULT_PROMPT, MULTI, SINGLE), F.when(size > 1, MULTI).otherwise(SINGLE)).when(prompt.startswith("<image>"), prompt).otherwise(F.concat(F.lit("<image>"), prompt))
 
 
+def document_prompt(prompt: Column, pages: Column) -> Column:
+    """The prompt of a whole document in the batched dialect, which is part of its cache key."""
+    own = F.when(prompt == DEFAULT_PROMPT, F.when(pages > 1, MULTI).otherwise(SINGLE)).otherwise(prompt)
+    return F.when(own.startswith("<image>"), own).otherwise(F.concat(F.lit("<image>"), own))
+
+
+def recipe(engine: Column, batch_size: Column, pages: Column) -> Column:
+    """The settings that a cache key has besides the request; empty but for the batched dialect."""
+    multi = F.when(batch_size > 0, batch_size > 1).otherwise(pages > 1)
+    return F.when(engine == "baidu", F.concat(F.lit("window_size="), F.when(multi, "1024").otherwise("128"))).otherwise("")
+
+
 def batches(pages: DataFrame, size: int = 0) -> DataFrame:
     """doc_id, batch_no, n, pages: consecutive pages in groups; a size of zero or less is one."""
     size = max(1, size)

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from quire.functions.text import trim
 from quire.operators.parse import line_label, lines_of, strip_fence
 
-BLOCK = "struct<index:bigint,label:string,content:string,bbox:array<bigint>>"
-_PAGES = pa.list_(pa.list_(pa.struct([("index", pa.int64()), ("label", pa.string()), ("content", pa.string()), ("bbox", pa.list_(pa.int64()))])))
+BLOCK = "struct<index:bigint,label:string,content:string,bbox:array<bigint>,content_json:string,bbox_json:string>"
+_FIELDS = [("index", pa.int64()), ("label", pa.string()), ("content", pa.string()), ("bbox", pa.list_(pa.int64())), ("content_json", pa.string()), ("bbox_json", pa.string())]
+_PAGES = pa.list_(pa.list_(pa.struct(_FIELDS)))
 _LONE = re.compile("[\ud800-\udfff]")
 
 
@@ -93,7 +94,8 @@ def _block(v: Any) -> dict:
                 fields[k] = x
             elif k in ("content", "bbox_2d"):
                 fields[k] = _plain(x)
-    return {"index": fields["index"], "label": fields["label"], "content": content_text(fields["content"]), "bbox": box(fields["bbox_2d"])}
+    content, bbox = fields["content"], fields["bbox_2d"]
+    return {"index": fields["index"], "label": fields["label"], "content": content_text(content), "bbox": box(bbox), "content_json": json.dumps(content), "bbox_json": json.dumps(bbox)}
 
 
 def _refuse(name: str) -> None:
@@ -154,16 +156,18 @@ def structured_pages(raw: Column) -> Column:
 
 
 def contents(docs: DataFrame, raw: str = "raw", first_page: bool = True) -> DataFrame:
-    """doc_id, page_no, ord, index, label, content, bbox, structured of the blocks in a recognizer's answer.
+    """doc_id, page_no, ord, index, label, content, bbox, content_json, bbox_json, structured of the blocks in a recognizer's answer.
+
+    content and bbox are text and four numbers, content_json and bbox_json the values as they stand in the answer.
 
     With first_page, pages behind the first are dropped, as an answer is for one page. A null answer is empty; an
     answer without JSON has a block for each line, and one empty block if it has no lines. A page without blocks has
     no rows, nor has an empty table.
     """
     text = F.coalesce(F.col(raw), F.lit(""))
-    line = lambda x, i: F.struct(i.cast("bigint").alias("index"), line_label(x).alias("label"), x.alias("content"), F.lit(None).cast("array<bigint>").alias("bbox"))
+    line = lambda x, i: F.struct(i.cast("bigint").alias("index"), line_label(x).alias("label"), x.alias("content"), F.lit(None).cast("array<bigint>").alias("bbox"), F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "").alias("content_json"), F.lit("null").alias("bbox_json"))
     found = docs.select("doc_id", text.alias("t"), structured_pages(text).alias("p"))
     pages = found.select("doc_id", F.coalesce("p", F.array(F.transform(lines_of(F.col("t")), line))).alias("p"), F.col("p").isNotNull().alias("structured"))
     kept = pages.select("doc_id", "structured", F.posexplode(F.slice("p", 1, 1) if first_page else F.col("p")).alias("n", "page"))
     blocks = kept.select("doc_id", (F.col("n") + 1).alias("page_no"), "structured", F.posexplode("page").alias("ord", "b"))
-    return blocks.select("doc_id", "page_no", "ord", "b.index", "b.label", "b.content", "b.bbox", "structured")
+    return blocks.select("doc_id", "page_no", "ord", "b.*", "structured")

@@ -52,7 +52,7 @@ def parse_det_blocks(spark, sf_dir):
 
 
 def row_cluster(spark, sf_dir):
-    return layout.layout(_blocks(spark, sf_dir)[0])
+    return layout.layout(layout.page_rows(_blocks(spark, sf_dir)[0]))
 
 
 def document_markdown(spark, sf_dir):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple, Protocol
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quire.operators.request import data_uri, mime_type, rotation
 
@@ -31,6 +34,10 @@ class Rasterizer(Protocol):
     def render(self, content: bytes, page_index: int, dpi: int) -> Image: ...
 
 
+#: Makes a rasterizer where it is called; a class will do.
+Factory = Callable[[], Rasterizer]
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """path, mtime_ns, size, content, paged, mime of files; modification times have microseconds at best."""
     files = spark.read.format("binaryFile").load(path)
@@ -82,24 +89,63 @@ def single_pages(files: DataFrame) -> DataFrame:
     return one.select("path", "page_index", "uri", "s.width", "s.height", F.lit(0).alias("dpi"), F.lit(0).alias("rotation"))
 
 
-def rendered_pages(files: DataFrame, rasterizer: Rasterizer, dpi: int = 200) -> DataFrame:
-    """Pages of paged files. The rasterizer goes to the executors; a file's pages are made one after the other."""
+_pool: dict[bytes, list[Rasterizer]] = {}
+#: Rasterizers that a worker keeps at most.
+POOL = 4
+
+
+@contextmanager
+def pooled(factory: Factory) -> Iterator[Rasterizer]:
+    """A rasterizer of this worker's, made when none is idle and kept for the next task."""
+    idle = _pool.setdefault(cloudpickle.dumps(factory), [])
+    made = idle.pop() if idle else factory()
+    yield made  # one that has failed isn't used again
+    if len(idle) < POOL:
+        idle.append(made)
+
+
+def page_counts(files: DataFrame, factory: Factory) -> DataFrame:
+    """files with n_pages; a file that the rasterizer can't read has none."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = []
+            for content in batch.column("content"):
+                try:
+                    with pooled(factory) as r:
+                        n.append(r.pages(content.as_py()))
+                except ValueError:
+                    n.append(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], names=[*batch.schema.names, "n_pages"])
+
+    return files.mapInArrow(rows, StructType([*files.schema.fields, StructField("n_pages", IntegerType())]))
+
+
+def rendered_pages(files: DataFrame, factory: Factory, dpi: int = 200, pages_per_task: int = 16) -> DataFrame:
+    """Pages of paged files. factory makes a rasterizer on an executor, and must pickle.
+
+    A file's pages go out in ranges, each a row of its own, so that one long file is many tasks' work.
+    """
+    names = ["path", "page_index", "uri", "width", "height", "dpi", "turn"]
+    kinds = pa.schema([("path", pa.string()), ("page_index", pa.int32()), ("uri", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("dpi", pa.int32()), ("turn", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "page_index", "uri", "width", "height", "dpi", "turn"]
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path, content, first, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = content.as_py()
-                for i in range(rasterizer.pages(data)):
-                    made = rasterizer.render(data, i, dpi)
+                for i in range(first, min(n, first + pages_per_task)):
+                    with pooled(factory) as r:
+                        made = r.render(data, i, dpi)
                     uri = "data:image/png;base64," + base64.b64encode(made.png).decode()
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, (path, i, uri, made.width, made.height, dpi, made.turn), strict=True))], pa.schema([("path", pa.string()), ("page_index", pa.int32()), ("uri", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("dpi", pa.int32()), ("turn", pa.int32())]))
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, (path, i, uri, made.width, made.height, dpi, made.turn), strict=True))], kinds)
 
-    made = files.where("paged").select("path", "content").mapInArrow(rows, "path string, page_index int, uri string, width int, height int, dpi int, turn int")
+    counted = page_counts(files.where("paged").select("path", "content"), factory).where("n_pages > 0")
+    ranges = counted.select("path", "content", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1, F.lit(pages_per_task))).alias("first"), "n_pages")
+    made = ranges.repartition(F.col("path"), F.col("first")).mapInArrow(rows, "path string, page_index int, uri string, width int, height int, dpi int, turn int")
     return made.select("path", "page_index", "uri", "width", "height", "dpi", rotation(F.col("turn")).alias("rotation"))
 
 
-def page_images(files: DataFrame, rasterizer: Rasterizer | None = None, dpi: int = 200) -> DataFrame:
+def page_images(files: DataFrame, rasterizer: Factory | None = None, dpi: int = 200) -> DataFrame:
     """All pages of files of scan(); without a rasterizer those of images alone."""
     single = single_pages(files)
     return single.unionByName(rendered_pages(files, rasterizer, dpi)) if rasterizer else single

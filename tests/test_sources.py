@@ -4,7 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from quire import cli
+from quire import cli, progress
 from quire.operators import structured
 from quire.sources import images, recognizer
 from quire.streaming import resume
@@ -59,7 +59,7 @@ def test_files_to_pages(spark, tmp_path):
     (tmp_path / "b.PDF").write_bytes(b"12")
     files = images.scan(spark, str(tmp_path))
     assert {(x.paged, x.mime, x.size) for x in files.collect()} == {(False, "image/png", 24), (True, "application/pdf", 2)}
-    got = sorted(tuple(x)[1:] for x in images.page_images(files, Pages(), 75).select("path", "page_index", F.substring("uri", 1, 15), "width", "height", "dpi", "rotation").collect())
+    got = sorted(tuple(x)[1:] for x in images.page_images(files, Pages, 75).select("path", "page_index", F.substring("uri", 1, 15), "width", "height", "dpi", "rotation").collect())
     assert got == [(0, "data:image/png;", 1, 75, 75, 0), (0, "data:image/png;", 3, 4, 0, 0), (1, "data:image/png;", 2, 75, 75, 90)]
 
 
@@ -76,6 +76,80 @@ def test_recognize(spark):
     assert got[0].error is None and got[0].content.startswith("[") and got[1].content is None and got[1].error == "status 500: down"
 
 
+def test_recognize_goes_on_after_a_lost_connection(spark):
+    def client(url, body):
+        if body == "lost":
+            raise ConnectionRefusedError("refused")
+        if body == "slow":
+            raise TimeoutError
+        return 200, json.dumps({"choices": [{"message": {"content": body}}]})
+
+    rows = spark.createDataFrame([(i, "u", b) for i, b in enumerate(["a", "lost", "slow", "b"])], "i int, url string, body string").coalesce(1)
+    got = [(r.content, r.error) for r in recognizer.recognize(rows, client).orderBy("i").collect()]
+    assert got == [("a", None), (None, "status 0: refused"), (None, "status 0: TimeoutError"), ("b", None)]
+
+
+def test_long_files_go_out_in_ranges(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x" * 40)
+    (tmp_path / "b.pdf").write_bytes(b"")
+    got = images.rendered_pages(images.scan(spark, str(tmp_path)), Pages, 100, pages_per_task=7).collect()
+    assert sorted(r.page_index for r in got) == list(range(40)) and {r.rotation for r in got} == {0, 90, 180, 270}
+
+
+def test_cache_is_compacted(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    ask = lambda pages: pages.withColumn("content", F.concat("hash", "page_index")).withColumn("error", F.lit(None).cast("string"))
+    for i in range(4):
+        resume.recognize_missing(spark.createDataFrame([("h", i), ("h", 0)], "hash string, page_index int"), cache, i, ask)
+    before = sorted(map(tuple, resume.load(spark, cache).collect()))
+    resume.compact(spark, cache, 3)
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == ["batch=3", "whole-3"]
+    assert sorted(map(tuple, resume.load(spark, cache).collect())) == before and len(before) == 4
+
+
+def test_command_line_resumes(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path / "kept"))
+    file, log = tmp_path / "a.pdf", tmp_path / "asked"
+    file.write_bytes(b"xyz")
+
+    def client(url, body):
+        page = json.loads(body)["messages"][0]["content"][0]["image_url"]["url"]
+        with log.open("a") as f:
+            f.write("x")
+        down = not (tmp_path / "up").exists()
+        return (500, "down") if down and page.endswith("Mg==") else (200, json.dumps({"choices": [{"message": {"content": page[-4:]}}]}))
+
+    class Numbered(Pages):
+        def render(self, content, page_index, dpi):
+            return images.Image(str(page_index).encode(), 1, 1)
+
+    args = [str(file), "-resume"]
+    assert cli.main(args, client, Numbered) == 1 and log.read_text() == "xxx"
+    (tmp_path / "up").touch()
+    assert cli.main([*args, "-raw"], client, Numbered) == 0 and log.read_text() == "xxxx"
+    assert cli.main(args, client, Numbered) == 0 and log.read_text() == "xxxx"
+    assert not any((tmp_path / "kept" / "quire").iterdir())
+    assert cli.main(args, client, Numbered) == 0 and log.read_text() == "xxxxxxx"
+    capsys.readouterr()
+
+
+def test_models():
+    glm = cli.MODELS["glm"]
+    assert cli.arguments(["x", "-model", glm, "-baidu"])[1].own_model == cli.MODELS["baidu"]
+    assert cli.arguments(["x"])[1].own_model == glm and cli.arguments(["x", "-baidu", "-model", "m"])[1].own_model == "m"
+
+
+def test_progress(monkeypatch):
+    class Terminal:
+        isatty = lambda self: True
+
+    assert progress.bar(5, 10, 100, "x", None) == "\r\033[K  \u23f3 [" + "\u2588" * 10 + "\u2591" * 10 + "]  50% | 5/10 pages | 20.0s/page | Elapsed: 1m40s | ETA: 1m40s | x"
+    assert "--s/page" in progress.bar(0, 3, 1, "", None) and "\u2714" in progress.bar(3, 3, 1, "", None) and progress.bar(0, 0, 1, "", None) == ""
+    assert progress.colored(progress.CYAN, "a", Terminal()) == "\033[36ma\033[0m"
+    monkeypatch.setenv("NO_COLOR", "1")
+    assert progress.colored(progress.CYAN, "a", Terminal()) == "a"
+
+
 def test_resumed_stream(spark, tmp_path):
     source, cache, mark = str(tmp_path / "in"), str(tmp_path / "cache"), str(tmp_path / "mark")
     asked = spark.sparkContext.accumulator(0)
