@@ -1,9 +1,12 @@
-"""Document fingerprints as invertible Bloom lookup sketches of paragraph digests, by column functions alone.
+"""Document fingerprints as invertible Bloom lookup sketches of paragraph digests, by tables and column functions alone.
 
-A paragraph's digest goes to one cell in each third of a table: the cell counts, and xors digests and checks. Two
-versions subtract cell by cell, and what is left peels: a cell with one digest gives it away, and it is taken out of
-its other cells. Tables are divided by digest into parts for about four paragraphs of each version; a part that
-doesn't peel is built anew with twice the cells, and at last its digests are compared themselves.
+A paragraph's digest goes to one cell in each third of a sketch; a cell counts, and xors digests and checks. A sketch
+is as large as its document has digests, so that it lists them all; its cells are the published fingerprint. Two
+sketches of one size subtract cell by cell, and what is left peels: a cell with one digest gives it away, and it is
+taken out of its other cells. What doesn't peel is tried again with larger sketches of both documents.
+
+A sketch is rows of a table, one for each cell that isn't empty, so building, subtracting and peeling are sums by cell,
+linear in the length of the text. A document's rows stay in the partition that its text was dealt to.
 """
 
 from __future__ import annotations
@@ -13,18 +16,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import shuffle_partitions
-
-CELL = "struct<n:int,k:bigint,c:bigint>"
-CELLS = (15, 36, 90)
-FINGERPRINT_CELLS = 12
-ROUNDS = 12
-#: Digests of a part, of both versions.
-PART = 8
-#: Texts shorter than this have their words as paragraphs; clauses of this length are cut into chunks.
-SHORT = 256
-#: Words longer than this are cut too.
+from quire.llm.common import materialize, release, shuffle_partitions
+
+#: A word ends a paragraph if its hash is the least among so many before and behind: one in 2 NEAR + 1.
+NEAR = 2
+#: Words with more letters are cut too.
 WORD = 64
+#: Cells in a third of a sketch: this at least, and the least power of two that is twice the number of digests.
+LEAST = 32
+#: Passes over the three thirds; what is left then counts as failed.
+PASSES = 4
+#: Bytes of text that a task is to have, as long as tasks aren't more than MORE times the shuffle's partitions.
+SHARE, MORE = 2 << 20, 16
+TALLY = -1
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,20 +36,28 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def chunks(clause: Column) -> Column:
-    """A long clause's runs of words, cut behind words that their own hashes choose; overlong words are cut likewise."""
-    chosen = lambda x: F.when(F.pmod(F.xxhash64(x), F.lit(8)) == 0, F.concat(x, F.lit("\n"))).otherwise(x)
-    letters = lambda w: F.array_join(F.transform(F.split(w, ""), chosen), "")
-    words = F.transform(F.split(clause, r"\s+"), lambda w: F.when(F.length(w) > WORD, letters(w)).otherwise(chosen(w)))
-    return F.split(F.array_join(words, " "), r"\n\x20?")
+def paragraphs(text: Column) -> Column:
+    """Runs of words, cut behind each word whose hash is the least among its neighbours: the same at all lengths and places.
 
+    Overlong words are runs of letters, cut likewise.
+    """
+    long = lambda w: F.length(w) > WORD
+    letters = lambda w: F.concat(F.filter(F.split(w, ""), lambda x: x != ""), F.array(F.lit(" ")))
+    spaced = lambda w: F.concat(w, F.lit(" "))
+    each = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(long(w), letters(w)).otherwise(F.array(spaced(w)))))
+    units = let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda ws: F.when(F.exists(ws, long), each(ws)).otherwise(F.transform(ws, spaced)))
 
-def paragraphs(text: Column) -> Column:
-    """Lines, cut behind punctuation, and chunks of what is long without it; of short texts the words."""
-    parts = F.when(F.length(text) < SHORT, F.split(text, r"\s+")).otherwise(F.split(text, r"(?<=[.,;:!?|])\s+|\n+"))
-    long = lambda p: F.length(p) >= SHORT
-    cut = let(parts, lambda ps: F.when(F.exists(ps, long), F.flatten(F.transform(ps, lambda p: F.when(long(p), chunks(p)).otherwise(F.array(p))))).otherwise(ps))
-    return F.filter(cut, lambda p: p != "")
+    def cut(us: Column, hs: Column) -> Column:
+        def marked(u: Column, i: Column) -> Column:
+            h = F.get(hs, i)
+            least = F.lit(True)
+            for j in range(1, NEAR + 1):
+                least = least & F.coalesce(h < F.get(hs, i - j), F.lit(True)) & F.coalesce(h <= F.get(hs, i + j), F.lit(True))
+            return F.when(least, F.concat(u, F.lit("\n"))).otherwise(u)
+
+        return F.split(F.array_join(F.transform(us, marked), ""), "\n")
+
+    return F.filter(let(units, lambda us: let(F.transform(us, lambda u: F.xxhash64(u)), lambda hs: cut(us, hs))), lambda p: p != "")
 
 
 def digests(text: Column) -> Column:
@@ -53,130 +65,216 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
 
 
-def table(found: Column, cells: int) -> Column:
-    """Cells of digests d with signs n: found is an array of struct<d, n>."""
-    placed = F.transform(
-        found,
-        lambda x: F.struct(
-            x["d"].alias("d"), x["n"].alias("n"), F.xxhash64(x["d"]).alias("c"),
-            *[F.pmod(F.xxhash64(x["d"], F.lit(i)), F.lit(cells // 3)).cast("int").alias(f"p{i}") for i in range(3)],
-        ),
-    )
+def size_for(n: Column) -> Column:
+    """Cells in a third of the sketch of n digests."""
+    return F.greatest(F.lit(LEAST), F.pow(2.0, F.ceil(F.log2(F.greatest(2 * n, F.lit(1))))).cast("int"))
 
-    def cell(own: Column) -> Column:
-        add = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["d"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
-        return F.aggregate(own, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")), add)
 
-    def third(p: Column, i: int) -> Column:
-        # a digest has one place in each third
-        return F.transform(F.sequence(F.lit(0), F.lit(cells // 3 - 1)), lambda j: cell(F.filter(p, lambda x: x[f"p{i}"] == j)))
+def check(d: Column) -> Column:
+    return F.xxhash64(d)
 
-    return let(placed, lambda p: F.concat(*[third(p, i) for i in range(3)]))
 
+def places(d: Column, size: Column) -> list[Column]:
+    """The digest's cell in each third."""
+    return [(F.pmod(F.xxhash64(d, F.lit(i)), size) + i * size).cast("int") for i in range(3)]
 
-def peel(cells_: Column, cells: int) -> Column:
-    """struct<ours, theirs, clean>: how many digests of either sign come out, and whether nothing is left."""
-    start = F.struct(cells_.alias("t"), F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(True).alias("on"))
 
-    def round_(s: Column, _) -> Column:
-        def pure(t: Column) -> Column:
-            one = F.filter(t, lambda x: ((x["n"] == 1) | (x["n"] == -1)) & (F.xxhash64(x["k"]) == x["c"]))
-            return F.array_distinct(F.transform(one, lambda x: F.struct(x["k"].alias("d"), x["n"].alias("n"))))
+def added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of equal place summed; empty ones go. rows: keys, size, cell, dig, n, k, c, x, y."""
+    sums = rows.groupBy(*keys, "size", "cell", "dig").agg(
+        F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return sums.where(f"cell = {TALLY} or n <> 0 or k <> 0 or c <> 0")
 
-        def without(found: Column) -> Column:
-            taken = let(table(found, cells), lambda g: F.zip_with(s["t"], g, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))))
-            return F.struct(
-                taken.alias("t"),
-                (s["ours"] + F.size(F.filter(found, lambda x: x["n"] == 1))).alias("ours"),
-                (s["theirs"] + F.size(F.filter(found, lambda x: x["n"] == -1))).alias("theirs"),
-                F.lit(True).alias("on"),
-            )
 
-        stop = F.struct(s["t"].alias("t"), s["ours"].alias("ours"), s["theirs"].alias("theirs"), F.lit(False).alias("on"))
-        return F.when(~s["on"], s).otherwise(let(pure(s["t"]), lambda found: F.when(F.size(found) == 0, stop).otherwise(without(found))))
+def _cell(cell: Column, n: Column, k: Column, c: Column, dig: Column | int = 0, x: Column | int = 0, y: Column | int = 0) -> Column:
+    as_long = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("long")
+    return F.struct(cell.cast("int").alias("cell"), as_long(dig).alias("dig"), n.cast("int").alias("n"), as_long(k).alias("k"), as_long(c).alias("c"), as_long(x).alias("x"), as_long(y).alias("y"))
 
-    def last(s: Column) -> Column:
-        clean = ~F.exists(s["t"], lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
-        return F.struct(s["ours"].alias("ours"), s["theirs"].alias("theirs"), clean.alias("clean"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, last)
+def sketched(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of the sum of signed digests, and a tally for each key with the numbers that are in x and y.
 
+    rows: keys, size, signed: array of struct<d, n>, x, y.
+    """
+    zero = F.lit(0).cast("long")
+    first = F.array(F.struct(zero.alias("d"), F.lit(0).alias("n"), "x", "y"))
+    others = F.transform("signed", lambda s: F.struct(s["d"].alias("d"), s["n"].alias("n"), zero.alias("x"), zero.alias("y")))
+    each = rows.select(*keys, "size", F.explode(F.concat(first, others)).alias("s"))
+    d, n, size = F.col("s.d"), F.col("s.n"), F.col("size")
+    tally = F.array(_cell(F.lit(TALLY), F.lit(0), F.lit(0), F.lit(0), 0, F.col("s.x"), F.col("s.y")))
+    three = F.array(*[_cell(p, n, d, check(d)) for p in places(d, size)])
+    return added(each.select(*keys, "size", F.explode(F.when(n == 0, tally).otherwise(three)).alias("e")).select(*keys, "size", "e.*"), keys)
 
-def signed(found: Column, n: int) -> Column:
-    return F.transform(found, lambda d: F.struct(d.alias("d"), F.lit(n).alias("n")))
 
+def peeled(cells: DataFrame, keys: list[str], listing: bool = False) -> DataFrame:
+    """What is left of cells once the digests that some cell holds alone are taken out, third by third.
 
-def differing(a: Column, b: Column) -> Column:
-    """How many digests of a part are a's alone: peeled from the difference of the sketches, larger on failure."""
+    A digest that enters with 1 takes one from its tally's x and adds one to y. With listing, each digest taken out is a
+    row of its own with its sign in n. No cell but the tallies is left where all has come out.
+    """
+    for i in range(3 * PASSES):
+        third = i % 3
+        n, k, size = F.col("n"), F.col("k"), F.col("size")
+        pure = (F.col("cell") >= third * size) & (F.col("cell") < (third + 1) * size) & (F.abs(n) == 1) & (check(k) == F.col("c"))
+        others = [_cell(p, -n, k, F.col("c")) for j, p in enumerate(places(k, size)) if j != third]
+        ours = F.when(n == 1, 1).otherwise(0)
+        out = _cell(F.lit(TALLY), n if listing else F.lit(0), F.lit(0), F.lit(0), k if listing else 0, -ours, ours)
+        kept = F.array(_cell(F.col("cell"), n, k, F.col("c"), F.col("dig"), F.col("x"), F.col("y")))
+        moved = cells.select(*keys, "size", F.explode(F.when(pure, F.array(*others, out)).otherwise(kept)).alias("e"))
+        cells = added(moved.select(*keys, "size", "e.*"), keys)
+    return cells
 
-    def attempt(cells: int) -> Column:
-        # what enters with both signs cancels in its cells, as subtraction of two tables cancels it
-        got = peel(table(F.concat(signed(a, 1), signed(b, -1)), cells), cells)
-        return let(got, lambda g: F.when(g["clean"], g["ours"]))
 
-    return F.coalesce(*[attempt(c) for c in CELLS], F.size(F.array_except(a, b)))
+def signed(found: Column, n: int) -> Column:
+    return F.transform(found, lambda d: F.struct(d.alias("d"), F.lit(n).alias("n")))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets of digests, from the digests that peeling recovers; of two empty sets 1.
+def likeness(pairs: DataFrame, keys: list[str], larger: int = 0) -> DataFrame:
+    """keys, near, clean: Jaccard similarity of the digests a and b, from the difference of two sketches of one size.
 
-    Digests go to groups of parts and then to parts, so that a text isn't read once for each of its parts.
+    pairs: keys, a, b (arrays of distinct digests), x, y (their numbers), size. larger: how often sketches have failed;
+    each time they have four times the cells. near is null where it isn't clean; of two empty sets it is 1.
     """
+    both = pairs.select(*keys, (F.col("size") * 4**larger).alias("size"), F.concat(signed(F.col("a"), 1), signed(F.col("b"), -1)).alias("signed"), "x", "y")
+    left = peeled(sketched(both, keys), keys)
+    done = left.groupBy(*keys).agg(F.max((F.col("cell") >= 0).cast("int")).alias("open"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    near = F.when(F.col("y") == 0, 1.0).otherwise(F.col("x") / F.col("y"))
+    return done.select(*keys, F.when(F.col("open") == 0, near).alias("near"), (F.col("open") == 0).alias("clean"))
 
-    def some(x: Column, at: Callable[[Column], Column], s: Column) -> Column:
-        return F.filter(x, lambda d: at(d) == s)
 
-    def total(n: Column, value: Callable[[Column], Column]) -> Column:
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0), lambda acc, s: acc + value(s))
+def published(cells: Column, n: Column, size: Column) -> Column:
+    """A sketch as text: size of a third, number of digests, then place, count, digest and check of each cell, in hexadecimal digits."""
+    one = lambda e: F.concat_ws(".", F.hex(e["cell"].cast("long")), e["n"], F.hex(e["k"]), F.hex(e["c"]))
+    return F.concat(size, F.lit("."), n, F.lit(";"), F.lower(F.array_join(F.transform(F.array_sort(cells), one), ",")))
 
-    def pair(a: Column, b: Column, at: Callable[[Column], Column], s: Column, use: Callable[[Column, Column], Column]) -> Column:
-        return let(some(a, at, s), lambda x: let(some(b, at, s), lambda y: F.when(F.size(x) == 0, 0).when(F.size(y) == 0, F.size(x)).otherwise(use(x, y))))
 
-    def over(n: Column) -> Column:
-        groups = lambda d: F.pmod(d, n)
-        parts = lambda d: F.pmod(F.shiftright(d, 32), n)
-        own = total(n, lambda s: pair(a, b, groups, s, lambda x, y: total(n, lambda r: pair(x, y, parts, r, differing))))
-        return let(own, lambda own: (F.size(a) - own).cast("double") / (F.size(b) + own))
+def cells_of(prints: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, size, cell, dig, n, k, c, x, y of published sketches. prints: keys, print."""
+    head, body = F.split("print", "[.;]"), F.substring_index("print", ";", -1)
+    number = lambda h: F.conv(h, 16, -10).cast("long")
+    cell = lambda e: let(F.split(e, "[.]"), lambda p: _cell(number(p[0]), p[1].cast("int"), number(p[2]), number(p[3])))
+    tally = F.array(_cell(F.lit(TALLY), F.lit(0), F.lit(0), F.lit(0), 0, head[1].cast("long")))
+    every = F.concat(tally, F.transform(F.filter(F.split(body, ","), lambda e: e != ""), cell))
+    return prints.select(*keys, head[0].cast("int").alias("size"), F.explode(every).alias("e")).select(*keys, "size", "e.*")
 
-    n = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(a) + F.size(b)) / PART))).cast("long")
-    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(let(n, over))
 
+def likeness_of(pairs: DataFrame) -> DataFrame:
+    """id, near: likeness of published fingerprints alone. pairs: id, a, b.
 
-def fingerprint(found: Column) -> Column:
-    """The cells of a whole text's sketch, in hexadecimal digits."""
-    cells = table(signed(found, 1), FINGERPRINT_CELLS)
-    return F.lower(F.array_join(F.transform(cells, lambda x: F.concat(F.hex(x["n"]), F.lit("-"), F.hex(x["k"]), F.lit("-"), F.hex(x["c"]))), "."))
-
-
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next row in descending order of doc_id, and of the first after the last.
-
-    Rows are dealt into ranges of doc_id by quantiles and evenly within them; each range is put in order by itself,
-    and the first row of each range, one for each, follows the last of the range above.
+    Sketches of one size are subtracted and peeled. Where sizes differ, or what is left doesn't peel, each sketch is
+    listed by itself and the digests are compared; near is null where not even that comes out.
+    """
+    keys = ["id", "v"]
+    sides = pairs.select("id", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("a").alias("print")), F.struct(F.lit(1).alias("v"), F.col("b").alias("print")))).alias("p")).select("id", "p.*")
+    cells = cells_of(sides, keys)
+    first = F.col("v") == 0
+    sign = lambda c: F.when(first, F.col(c)).otherwise(-F.col(c))
+    tally = F.col("cell") == TALLY
+    signs = cells.select("id", "size", "cell", "dig", sign("n").alias("n"), "k", "c", F.when(tally & first, F.col("x")).otherwise(0).alias("x"), F.when(tally & ~first, F.col("x")).otherwise(0).alias("y"))
+    left = peeled(added(signs, ["id"]), ["id"]).groupBy("id").agg(F.max((F.col("cell") >= 0).cast("int")).alias("open"), F.count_distinct("size").alias("sizes"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    direct = left.where("open = 0 and sizes = 1").select("id", F.when(F.col("y") == 0, 1.0).otherwise(F.col("x") / F.col("y")).alias("near"))
+    rest = cells.join(direct, "id", "left_anti")
+    out = peeled(rest, keys, listing=True)
+    whole = out.groupBy("id").agg(F.max((F.col("cell") >= 0).cast("int")).alias("open"))
+    each = out.where(f"cell = {TALLY} and n = 1").groupBy("id", "dig").agg(F.count("*").alias("sides"))
+    sums = each.groupBy("id").agg(F.count("*").alias("union"), F.sum((F.col("sides") == 2).cast("int")).alias("common"))
+    listed = whole.join(sums, "id", "left").select("id", F.when(F.col("open") == 0, F.when(F.col("union").isNull(), 1.0).otherwise(F.col("common") / F.col("union"))).alias("near"))
+    return direct.unionByName(listed)
+
+
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """r, rn, doc_id, text, next_text: the text of the next row in descending order of doc_id, and of the first after the last.
+
+    Null doc_ids come last, rows of one doc_id by a hash of text. Rows are dealt into ranges by quantiles of doc_id and
+    evenly within them, rows of a frequent doc_id (or without any) by the hash; each range is put in order by itself.
+    The first row of each range goes to the range above too, behind its last: a place for each range, of which there is a
+    fixed number, tells which rows these are, and texts go through one shuffle, by r into the number of partitions that is given back.
+    r and rn tell rows apart.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
-    n = 2 * shuffle_partitions(docs.sparkSession)
-    cuts = rows.agg(F.percentile_approx("o", [i / 32 for i in range(33)], 2000)).first()[0] or [0]
-    cuts = sorted(set(cuts))
-    inner = max(1, -(-n // max(1, len(cuts))))
+    seen = rows.agg(F.percentile_approx("o", [i / 32 for i in range(33)], 2000), F.sum(F.octet_length("text"))).first()
+    found, partitions = seen[0] or [0], shuffle_partitions(docs.sparkSession)
+    n = max(partitions, min(MORE * partitions, -(-(seen[1] or 0) // SHARE)))
+    cuts, often = sorted(set(found)), {c: found.count(c) for c in found if found.count(c) > 1}
+    inner, wide = max(1, -(-2 * n // len(cuts))), 4 * n + 4
     longs = F.array(*[F.lit(c).cast("long") for c in cuts])
     at = F.size(F.filter(longs, lambda c: c <= F.col("o")))
     lo, hi = F.get(longs, F.greatest(at - 1, F.lit(0))).cast("double"), F.get(longs, F.least(at, F.lit(len(cuts) - 1))).cast("double")
-    share = F.when(hi > lo, (F.col("o").cast("double") - lo) / (hi - lo)).otherwise(0.0)
-    bucket = (at * F.lit(inner) + F.least(F.floor(share * inner), F.lit(inner - 1))).cast("int")
-    rows = rows.withColumn("b", bucket)
-    order = [F.col("o").desc(), F.col("tie").desc()]
-    # one row for each range: the head's place is a pair of numbers, and its text comes by a join on them
-    heads = rows.groupBy("b").agg(F.max(F.struct("o", "tie")).alias("h")).select("b", "h.o", "h.tie")
-    over = Window.orderBy(F.col("b").desc())  # of one row for each range
-    ring = heads.select(F.lag("b").over(over).alias("above"), F.max("b").over(Window.partitionBy()).alias("top"), F.min("b").over(Window.partitionBy()).alias("low"), "b", "o", "tie")
-    ring = ring.select(F.coalesce("above", "low").alias("for_b"), "o", "tie")
-    texts_ = rows.select("o", "tie", F.col("text").alias("head_text")).join(F.broadcast(ring), ["o", "tie"]).groupBy("for_b").agg(F.first("head_text").alias("head_text"))
-    w = Window.partitionBy("b").orderBy(*order)
-    led = rows.select("b", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
-    last = led.where("next_text is null").join(texts_, F.col("b") == F.col("for_b")).select("doc_id", "text", F.col("head_text").alias("next_text"))
-    return led, last
+    within = lambda share, parts: F.least(F.floor(share * parts), F.lit(parts - 1))
+    part = wide // 2 + within(F.when(hi > lo, (F.col("o").cast("double") - lo) / (hi - lo)).otherwise(0.0), inner)
+    for c, times in often.items():  # as many parts as this doc_id has quantiles
+        by_tie = within((F.col("tie").cast("double") + 2.0**63) / 2.0**64, -(-2 * n * times // 33))
+        part = F.when(F.col("o") == c, by_tie).otherwise(part)
+    rows = rows.withColumn("r", (at * wide + part).cast("int"))
+    heads = rows.groupBy("r").agg(F.max(F.struct("o", "tie")).alias("h")).collect()  # one row for each range
+    order = sorted(heads, key=lambda h: -h["r"])
+    ring = [(h["h"]["o"], h["h"]["tie"], order[i - 1]["r"]) for i, h in enumerate(order)]  # the top's is the lowest
+    ring = docs.sparkSession.createDataFrame(ring, "o long, tie long, above int")
+    own = F.struct(F.col("r"), F.lit(False).alias("again"))
+    placed = F.array_compact(F.array(own, F.when(F.col("above").isNotNull(), F.struct(F.col("above").alias("r"), F.lit(True).alias("again")))))
+    dealt = rows.join(F.broadcast(ring), ["o", "tie"], "left").select("doc_id", "tie", "text", F.explode(placed).alias("p")).select("p.*", "doc_id", "tie", "text").repartition(n, "r")
+    over = Window.partitionBy("r").orderBy("again", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    led = dealt.select("r", "again", "doc_id", "text", F.lead("text").over(over).alias("next_text"), F.row_number().over(over).alias("rn"))
+    return led.where(~F.col("again")).select("r", "rn", "doc_id", "text", "next_text"), n
+
+
+def edited() -> Column:
+    """The text with its last third replaced by as much, or all, of the head of the next."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    return F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """r, rn, v, a, b, x, y, size: each row's digests with those of its edited text (v 0) and of the next row's (v 1)."""
+    found = rows.select("r", "rn", digests(F.col("text")).alias("a"), digests(edited()).alias("e"), digests(F.col("next_text")).alias("z"))
+    both = F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("b")) for v, c in ((0, "e"), (1, "z"))])
+    each = found.select("r", "rn", "a", F.explode(both).alias("p")).select("r", "rn", "p.v", "a", "p.b")
+    n = lambda c: F.size(c).cast("long")
+    return each.select("*", n("a").alias("x"), n("b").alias("y"), F.greatest(size_for(F.size("a")), size_for(F.size("b"))).alias("size"))
+
+
+def nearness(rows: DataFrame, n: int, attempts: int = 8) -> DataFrame:
+    """r, rn, near_edited, near_next, a written table; rows with a pair that doesn't peel go again with larger sketches.
+
+    n: the number of partitions by r that rows have.
+    """
+    held: list[DataFrame] = []
+    for larger in range(attempts):
+        open_ = held[-1].where(~F.col("clean")).select("r", "rn").repartition(n, "r").distinct() if held else None
+        todo = rows if open_ is None else rows.join(open_, ["r", "rn"], "left_semi")
+        held.append(materialize(likeness(_pairs(todo), ["r", "rn", "v"], larger)))
+        if held[-1].where(~F.col("clean")).isEmpty():
+            break
+    else:
+        raise RuntimeError("sketches don't peel")
+    every = held[0]
+    for more in held[1:]:
+        every = every.unionByName(more)
+    near = [F.max(F.when(F.col("v") == v, F.col("near"))).alias(c) for v, c in ((0, "near_edited"), (1, "near_next"))]
+    out = materialize(every.where("clean").groupBy("r", "rn").agg(*near))
+    release(*held)
+    return out
+
+
+def prints(rows: DataFrame) -> DataFrame:
+    """r, rn, fingerprint, edited_fingerprint: the published sketches of each row's text and its edited text."""
+    two = F.array(*[F.struct(F.lit(v).alias("v"), digests(t).alias("d")) for v, t in ((0, F.col("text")), (1, edited()))])
+    each = rows.select("r", "rn", F.explode(two).alias("p")).select("r", "rn", "p.v", signed(F.col("p.d"), 1).alias("signed"), F.size("p.d").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), size_for(F.size("p.d")).alias("size"))
+    cells = sketched(each, ["r", "rn", "v"])
+    got = cells.groupBy("r", "rn").agg(F.collect_list(F.struct("v", "cell", "n", "k", "c", "x", "size")).alias("all"))
+
+    def text(v: int) -> Column:
+        mine = F.filter("all", lambda e: e["v"] == v)
+
+        def whole(mine: Column) -> Column:
+            own = F.transform(F.filter(mine, lambda e: e["cell"] != TALLY), lambda e: F.struct(e["cell"].alias("cell"), e["n"].alias("n"), e["k"].alias("k"), e["c"].alias("c")))
+            head = F.filter(mine, lambda e: e["cell"] == TALLY)[0]
+            return published(own, head["x"], head["size"])
+
+        return let(mine, whole)
+
+    return got.select("r", "rn", text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -184,13 +282,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third replaced by as much, or all, of the head of the next row's text, in descending
     order of doc_id (null last; rows of one doc_id by a hash of text); the first row follows the last. A null text is
-    empty. Likeness is that of the distinct paragraphs; two texts without any are alike. An empty table gives no rows.
+    empty. Likeness is that of the distinct paragraphs, recovered from the difference of two sketches of the size of the
+    larger fingerprint; two texts without any are alike. An empty table gives no rows.
     """
-    led, last = with_next(docs)
-    both = led.where("next_text is not null").select("doc_id", "text", "next_text").unionByName(last)
-    third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = both.withColumn("edited", edited)
-    one = F.struct(digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("z"))
-    made = let(one, lambda d: F.struct(fingerprint(d["a"]).alias("fingerprint"), fingerprint(d["e"]).alias("edited_fingerprint"), likeness(d["a"], d["e"]).alias("near_edited"), likeness(d["a"], d["z"]).alias("near_next")))
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), made.alias("m")).select("doc_id", "n_chars", "edited_sha256", "m.*")
+    rows, n = with_next(docs)
+    # as many partitions by the same key as rows have, so that nothing but these few numbers moves
+    near = nearness(rows, n).repartition(n, "r")
+    told = rows.select("r", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited(), 256).alias("edited_sha256"))
+    out = prints(rows).join(told, ["r", "rn"]).join(near, ["r", "rn"])
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
