@@ -18,17 +18,20 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import materialize, release, shuffle_partitions
 
-#: A word ends a paragraph if its hash is the least among so many before and behind: one in 2 NEAR + 1.
+#: Among the first words, one ends a paragraph if its hash is the least among so many before and behind.
 NEAR = 2
+#: From this word on, one word in so many ends a paragraph.
+FAR = ((32, 8), (128, 16), (512, 32))
 #: Words with more letters are cut too.
 WORD = 64
 #: Cells in a third of a sketch: this at least, and the least power of two that is twice the number of digests.
 LEAST = 32
 #: Passes over the three thirds; what is left then counts as failed.
-PASSES = 4
+PASSES = 3
 #: Bytes of text that a task is to have, as long as tasks aren't more than MORE times the shuffle's partitions.
-SHARE, MORE = 2 << 20, 16
-TALLY = -1
+SHARE, MORE = 1 << 20, 16
+#: Places of what isn't a cell.
+TALLY, LISTED, OWN, LIKE, SHA = -1, -2, -3, -4, -5
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -37,27 +40,41 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Runs of words, cut behind each word whose hash is the least among its neighbours: the same at all lengths and places.
+    """Runs of words, cut behind words that their hashes choose, so that an edit changes the runs about it alone.
 
-    Overlong words are runs of letters, cut likewise.
+    The first words are chosen where their hash is the least among their neighbours', so short texts have several runs
+    too; farther on one word in so many is chosen, and runs grow with the distance from the start of the text, never by
+    its length. Overlong words are runs of letters, cut likewise.
     """
-    long = lambda w: F.length(w) > WORD
-    letters = lambda w: F.concat(F.filter(F.split(w, ""), lambda x: x != ""), F.array(F.lit(" ")))
-    spaced = lambda w: F.concat(w, F.lit(" "))
-    each = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(long(w), letters(w)).otherwise(F.array(spaced(w)))))
-    units = let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda ws: F.when(F.exists(ws, long), each(ws)).otherwise(F.transform(ws, spaced)))
+    def cut(us: Column, hs: Column, between: str) -> Column:
+        """us joined, with a line feed behind the chosen ones."""
 
-    def cut(us: Column, hs: Column) -> Column:
         def marked(u: Column, i: Column) -> Column:
-            h = F.get(hs, i)
-            least = F.lit(True)
-            for j in range(1, NEAR + 1):
-                least = least & F.coalesce(h < F.get(hs, i - j), F.lit(True)) & F.coalesce(h <= F.get(hs, i + j), F.lit(True))
-            return F.when(least, F.concat(u, F.lit("\n"))).otherwise(u)
+            def least(h: Column) -> Column:
+                out = F.lit(True)
+                for j in range(1, NEAR + 1):
+                    out = out & F.coalesce(h < F.get(hs, i - j), F.lit(True)) & F.coalesce(h <= F.get(hs, i + j), F.lit(True))
+                return out
 
-        return F.split(F.array_join(F.transform(us, marked), ""), "\n")
+            one = F.lit(FAR[-1][1])
+            for (_, n), (until, _) in reversed(list(zip(FAR, FAR[1:], strict=False))):
+                one = F.when(i < until, n).otherwise(one)
+            chosen = F.when(i < FAR[0][0], let(F.get(hs, i), least)).otherwise(F.pmod(F.get(hs, i), one) == 0)
+            return F.when(chosen, F.concat(u, F.lit("\n"))).otherwise(u)
 
-    return F.filter(let(units, lambda us: let(F.transform(us, lambda u: F.xxhash64(u)), lambda hs: cut(us, hs))), lambda p: p != "")
+        return F.array_join(F.transform(us, marked), between)
+
+    def letters(words: Column) -> Column:
+        """Where some words are overlong: units with the space behind them."""
+        each = lambda w: F.when(F.length(w) > WORD, F.concat(F.filter(F.split(w, ""), lambda x: x != ""), F.array(F.lit(" ")))).otherwise(F.array(F.concat(w, F.lit(" "))))
+        units = F.flatten(F.transform(words, each))
+        return let(units, lambda us: let(F.transform(us, lambda u: F.xxhash64(F.rtrim(u))), lambda hs: cut(us, hs, "")))
+
+    words = F.split(F.regexp_replace(text, r"^\s+|\s+\z", ""), r"\s+")
+    plain = let(words, lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: cut(ws, hs, " ")))
+    odd = text.rlike(f"\\S{{{WORD + 1}}}")
+    runs = F.split(F.when(odd, letters(words)).otherwise(plain), "\n")
+    return F.filter(F.transform(runs, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def digests(text: Column) -> Column:
@@ -80,48 +97,54 @@ def places(d: Column, size: Column) -> list[Column]:
 
 
 def added(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of equal place summed; empty ones go. rows: keys, size, cell, dig, n, k, c, x, y."""
-    sums = rows.groupBy(*keys, "size", "cell", "dig").agg(
-        F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    return sums.where(f"cell = {TALLY} or n <> 0 or k <> 0 or c <> 0")
+    """Cells of equal place summed; empty ones go, but for those with places below 0. rows: keys, cell, n, k, c."""
+    sums = rows.groupBy(*keys, "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    return sums.where("cell < 0 or n <> 0 or k <> 0 or c <> 0")
 
 
-def _cell(cell: Column, n: Column, k: Column, c: Column, dig: Column | int = 0, x: Column | int = 0, y: Column | int = 0) -> Column:
-    as_long = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("long")
-    return F.struct(cell.cast("int").alias("cell"), as_long(dig).alias("dig"), n.cast("int").alias("n"), as_long(k).alias("k"), as_long(c).alias("c"), as_long(x).alias("x"), as_long(y).alias("y"))
+def _cell(cell: Column, n: Column, k: Column, c: Column) -> Column:
+    return F.struct(cell.cast("int").alias("cell"), n.cast("int").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"))
 
 
-def sketched(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of the sum of signed digests, and a tally for each key with the numbers that are in x and y.
+def sketched(rows: DataFrame, keys: list[str], *notes: Column) -> DataFrame:
+    """keys, cell, n, k, c: the sum of signed digests in sketches of the size in the key `size`, and notes as they are.
 
-    rows: keys, size, signed: array of struct<d, n>, x, y.
+    rows: keys, signed: array of struct<d, n> with n not 0. notes: cells with places below 0, with columns of rows.
     """
-    zero = F.lit(0).cast("long")
-    first = F.array(F.struct(zero.alias("d"), F.lit(0).alias("n"), "x", "y"))
-    others = F.transform("signed", lambda s: F.struct(s["d"].alias("d"), s["n"].alias("n"), zero.alias("x"), zero.alias("y")))
-    each = rows.select(*keys, "size", F.explode(F.concat(first, others)).alias("s"))
-    d, n, size = F.col("s.d"), F.col("s.n"), F.col("size")
-    tally = F.array(_cell(F.lit(TALLY), F.lit(0), F.lit(0), F.lit(0), 0, F.col("s.x"), F.col("s.y")))
-    three = F.array(*[_cell(p, n, d, check(d)) for p in places(d, size)])
-    return added(each.select(*keys, "size", F.explode(F.when(n == 0, tally).otherwise(three)).alias("e")).select(*keys, "size", "e.*"), keys)
+    kind = "struct<cell:int,n:int,k:bigint,c:bigint>"
+    digest = F.transform("signed", lambda s: _cell(F.lit(0), s["n"], s["d"], F.lit(0)).cast(kind))
+    each = rows.select(*keys, F.explode(F.concat(F.array(*[x.cast(kind) for x in notes]), digest)).alias("s"))
+    d, n = F.col("s.k"), F.col("s.n")
+    three = F.array(*[_cell(p, n, d, check(d)).cast(kind) for p in places(d, F.col("size"))])
+    placed = F.when(F.col("s.cell") < 0, F.array("s")).otherwise(three)
+    return added(each.select(*keys, F.explode(placed).alias("e")).select(*keys, "e.*"), keys)
+
+
+def tally(ours: Column, theirs: Column) -> Column:
+    """The numbers of digests of two sketches that are subtracted."""
+    return _cell(F.lit(TALLY), F.lit(0), ours, theirs)
 
 
 def peeled(cells: DataFrame, keys: list[str], listing: bool = False) -> DataFrame:
     """What is left of cells once the digests that some cell holds alone are taken out, third by third.
 
-    A digest that enters with 1 takes one from its tally's x and adds one to y. With listing, each digest taken out is a
-    row of its own with its sign in n. No cell but the tallies is left where all has come out.
+    A digest that had entered with 1 adds one to its tally's n. With listing, each digest taken out is a row of its own
+    instead, with place LISTED, its sign in n, and itself in k and the key `dig`. No other cell but notes is left where
+    all has come out.
     """
-    for i in range(3 * PASSES):
-        third = i % 3
-        n, k, size = F.col("n"), F.col("k"), F.col("size")
+    if listing:
+        keys, cells = [*keys, "dig"], cells.withColumn("dig", F.lit(0).cast("long"))
+    n, k, size = F.col("n"), F.col("k"), F.col("size")
+    zero = F.lit(0).cast("long")
+    for third in [0, 1, 2] * PASSES:
         pure = (F.col("cell") >= third * size) & (F.col("cell") < (third + 1) * size) & (F.abs(n) == 1) & (check(k) == F.col("c"))
-        others = [_cell(p, -n, k, F.col("c")) for j, p in enumerate(places(k, size)) if j != third]
-        ours = F.when(n == 1, 1).otherwise(0)
-        out = _cell(F.lit(TALLY), n if listing else F.lit(0), F.lit(0), F.lit(0), k if listing else 0, -ours, ours)
-        kept = F.array(_cell(F.col("cell"), n, k, F.col("c"), F.col("dig"), F.col("x"), F.col("y")))
-        moved = cells.select(*keys, "size", F.explode(F.when(pure, F.array(*others, out)).otherwise(kept)).alias("e"))
-        cells = added(moved.select(*keys, "size", "e.*"), keys)
+        item = lambda cell, dig: F.struct(cell, dig.alias("dig")) if listing else F.struct(cell)
+        others = [item(_cell(p, -n, k, F.col("c")).alias("e"), zero) for j, p in enumerate(places(k, size)) if j != third]
+        told = item(_cell(F.lit(LISTED), n, zero, zero).alias("e"), k) if listing else item(_cell(F.lit(TALLY), F.when(n == 1, 1).otherwise(0), zero, zero).alias("e"), zero)
+        kept = F.array(item(_cell(F.col("cell"), n, k, F.col("c")).alias("e"), F.col("dig") if listing else zero))
+        plain = [x for x in keys if x != "dig"]
+        moved = cells.select(*plain, F.explode(F.when(pure, F.array(*others, told)).otherwise(kept)).alias("m")).select(*plain, "m.*")
+        cells = added(moved.select(*keys, "e.*"), keys)
     return cells
 
 
@@ -129,32 +152,34 @@ def signed(found: Column, n: int) -> Column:
     return F.transform(found, lambda d: F.struct(d.alias("d"), F.lit(n).alias("n")))
 
 
-def likeness(pairs: DataFrame, keys: list[str], larger: int = 0) -> DataFrame:
-    """keys, near, clean: Jaccard similarity of the digests a and b, from the difference of two sketches of one size.
+def counted(left: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, common, union, clean: how many digests two sketches share and have together, of what peeled() leaves."""
+    told = F.col("cell") == TALLY
+    sums = left.groupBy(*keys).agg(F.max((F.col("cell") >= 0).cast("int")).alias("open"), *[F.sum(F.when(told, F.col(c)).otherwise(0)).alias(c) for c in ("n", "k", "c")])
+    return sums.select(*keys, (F.col("k") - F.col("n")).alias("common"), (F.col("c") + F.col("n")).alias("union"), (F.col("open") == 0).alias("clean"))
+
+
+def share(common: Column, union: Column) -> Column:
+    """Jaccard similarity; of two empty sets 1."""
+    return F.when(union == 0, 1.0).otherwise(common / union)
 
-    pairs: keys, a, b (arrays of distinct digests), x, y (their numbers), size. larger: how often sketches have failed;
-    each time they have four times the cells. near is null where it isn't clean; of two empty sets it is 1.
-    """
-    both = pairs.select(*keys, (F.col("size") * 4**larger).alias("size"), F.concat(signed(F.col("a"), 1), signed(F.col("b"), -1)).alias("signed"), "x", "y")
-    left = peeled(sketched(both, keys), keys)
-    done = left.groupBy(*keys).agg(F.max((F.col("cell") >= 0).cast("int")).alias("open"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    near = F.when(F.col("y") == 0, 1.0).otherwise(F.col("x") / F.col("y"))
-    return done.select(*keys, F.when(F.col("open") == 0, near).alias("near"), (F.col("open") == 0).alias("clean"))
+
+def published_cell() -> Column:
+    """A cell as text: place, count, digest and check, in hexadecimal digits but for the count."""
+    return F.lower(F.concat_ws(".", F.hex(F.col("cell").cast("long")), "n", F.hex("k"), F.hex("c")))
 
 
 def published(cells: Column, n: Column, size: Column) -> Column:
-    """A sketch as text: size of a third, number of digests, then place, count, digest and check of each cell, in hexadecimal digits."""
-    one = lambda e: F.concat_ws(".", F.hex(e["cell"].cast("long")), e["n"], F.hex(e["k"]), F.hex(e["c"]))
-    return F.concat(size, F.lit("."), n, F.lit(";"), F.lower(F.array_join(F.transform(F.array_sort(cells), one), ",")))
+    """A sketch as text: size of a third, number of digests, then its cells in order. cells: array of struct<cell, t>."""
+    return F.concat(size, F.lit("."), n, F.lit(";"), F.array_join(F.transform(F.array_sort(cells), lambda e: e["t"]), ","))
 
 
 def cells_of(prints: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, size, cell, dig, n, k, c, x, y of published sketches. prints: keys, print."""
+    """keys, size, cell, n, k, c of published sketches, with their numbers in notes. prints: keys, print."""
     head, body = F.split("print", "[.;]"), F.substring_index("print", ";", -1)
     number = lambda h: F.conv(h, 16, -10).cast("long")
     cell = lambda e: let(F.split(e, "[.]"), lambda p: _cell(number(p[0]), p[1].cast("int"), number(p[2]), number(p[3])))
-    tally = F.array(_cell(F.lit(TALLY), F.lit(0), F.lit(0), F.lit(0), 0, head[1].cast("long")))
-    every = F.concat(tally, F.transform(F.filter(F.split(body, ","), lambda e: e != ""), cell))
+    every = F.concat(F.array(tally(head[1].cast("long"), F.lit(0))), F.transform(F.filter(F.split(body, ","), lambda e: e != ""), cell))
     return prints.select(*keys, head[0].cast("int").alias("size"), F.explode(every).alias("e")).select(*keys, "size", "e.*")
 
 
@@ -164,26 +189,24 @@ def likeness_of(pairs: DataFrame) -> DataFrame:
     Sketches of one size are subtracted and peeled. Where sizes differ, or what is left doesn't peel, each sketch is
     listed by itself and the digests are compared; near is null where not even that comes out.
     """
-    keys = ["id", "v"]
-    sides = pairs.select("id", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("a").alias("print")), F.struct(F.lit(1).alias("v"), F.col("b").alias("print")))).alias("p")).select("id", "p.*")
-    cells = cells_of(sides, keys)
-    first = F.col("v") == 0
-    sign = lambda c: F.when(first, F.col(c)).otherwise(-F.col(c))
-    tally = F.col("cell") == TALLY
-    signs = cells.select("id", "size", "cell", "dig", sign("n").alias("n"), "k", "c", F.when(tally & first, F.col("x")).otherwise(0).alias("x"), F.when(tally & ~first, F.col("x")).otherwise(0).alias("y"))
-    left = peeled(added(signs, ["id"]), ["id"]).groupBy("id").agg(F.max((F.col("cell") >= 0).cast("int")).alias("open"), F.count_distinct("size").alias("sizes"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    direct = left.where("open = 0 and sizes = 1").select("id", F.when(F.col("y") == 0, 1.0).otherwise(F.col("x") / F.col("y")).alias("near"))
-    rest = cells.join(direct, "id", "left_anti")
-    out = peeled(rest, keys, listing=True)
+    sides = F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("print")) for v, c in ((0, "a"), (1, "b"))])
+    cells = cells_of(pairs.select("id", F.explode(sides).alias("p")).select("id", "p.*"), ["id", "v"])
+    first, told = F.col("v") == 0, F.col("cell") == TALLY
+    second = told & ~first
+    signs = cells.select("id", "size", "cell", F.when(first, F.col("n")).otherwise(-F.col("n")).alias("n"), F.when(second, F.col("c")).otherwise(F.col("k")).alias("k"), F.when(second, F.col("k")).otherwise(F.col("c")).alias("c"))
+    same = cells.groupBy("id").agg(F.count_distinct("size").alias("sizes")).where("sizes = 1").select("id")
+    left = counted(peeled(added(signs.join(same, "id", "left_semi"), ["id", "size"]), ["id", "size"]), ["id"])
+    direct = left.where("clean").select("id", share(F.col("common"), F.col("union")).alias("near"))
+    out = peeled(cells.join(direct, "id", "left_anti"), ["id", "v", "size"], listing=True)
     whole = out.groupBy("id").agg(F.max((F.col("cell") >= 0).cast("int")).alias("open"))
-    each = out.where(f"cell = {TALLY} and n = 1").groupBy("id", "dig").agg(F.count("*").alias("sides"))
+    each = out.where(f"cell = {LISTED}").groupBy("id", "dig").agg(F.count("*").alias("sides"))
     sums = each.groupBy("id").agg(F.count("*").alias("union"), F.sum((F.col("sides") == 2).cast("int")).alias("common"))
-    listed = whole.join(sums, "id", "left").select("id", F.when(F.col("open") == 0, F.when(F.col("union").isNull(), 1.0).otherwise(F.col("common") / F.col("union"))).alias("near"))
-    return direct.unionByName(listed)
+    near = F.when(F.col("open") == 0, F.coalesce(share(F.col("common"), F.col("union")), F.lit(1.0)))
+    return direct.unionByName(whole.join(sums, "id", "left").select("id", near.alias("near")))
 
 
-def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """r, rn, doc_id, text, next_text: the text of the next row in descending order of doc_id, and of the first after the last.
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """r, again, doc_id, tie, text for with_next(): the text of the next row in descending order of doc_id, and of the first after the last.
 
     Null doc_ids come last, rows of one doc_id by a hash of text. Rows are dealt into ranges by quantiles of doc_id and
     evenly within them, rows of a frequent doc_id (or without any) by the hash; each range is put in order by itself.
@@ -197,14 +220,15 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     found, partitions = seen[0] or [0], shuffle_partitions(docs.sparkSession)
     n = max(partitions, min(MORE * partitions, -(-(seen[1] or 0) // SHARE)))
     cuts, often = sorted(set(found)), {c: found.count(c) for c in found if found.count(c) > 1}
-    inner, wide = max(1, -(-2 * n // len(cuts))), 4 * n + 4
+    ranges = 8 * n  # several for a partition, so that these are alike
+    inner, wide = max(1, -(-ranges // len(cuts))), 2 * ranges + 4
     longs = F.array(*[F.lit(c).cast("long") for c in cuts])
     at = F.size(F.filter(longs, lambda c: c <= F.col("o")))
     lo, hi = F.get(longs, F.greatest(at - 1, F.lit(0))).cast("double"), F.get(longs, F.least(at, F.lit(len(cuts) - 1))).cast("double")
     within = lambda share, parts: F.least(F.floor(share * parts), F.lit(parts - 1))
     part = wide // 2 + within(F.when(hi > lo, (F.col("o").cast("double") - lo) / (hi - lo)).otherwise(0.0), inner)
     for c, times in often.items():  # as many parts as this doc_id has quantiles
-        by_tie = within((F.col("tie").cast("double") + 2.0**63) / 2.0**64, -(-2 * n * times // 33))
+        by_tie = within((F.col("tie").cast("double") + 2.0**63) / 2.0**64, -(-ranges * times // 33))
         part = F.when(F.col("o") == c, by_tie).otherwise(part)
     rows = rows.withColumn("r", (at * wide + part).cast("int"))
     heads = rows.groupBy("r").agg(F.max(F.struct("o", "tie")).alias("h")).collect()  # one row for each range
@@ -213,10 +237,17 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     ring = docs.sparkSession.createDataFrame(ring, "o long, tie long, above int")
     own = F.struct(F.col("r"), F.lit(False).alias("again"))
     placed = F.array_compact(F.array(own, F.when(F.col("above").isNotNull(), F.struct(F.col("above").alias("r"), F.lit(True).alias("again")))))
-    dealt = rows.join(F.broadcast(ring), ["o", "tie"], "left").select("doc_id", "tie", "text", F.explode(placed).alias("p")).select("p.*", "doc_id", "tie", "text").repartition(n, "r")
+    both = rows.join(F.broadcast(ring), ["o", "tie"], "left").select("doc_id", "tie", "text", F.explode(placed).alias("p"))
+    return both.select("p.*", "doc_id", "tie", "text").repartition(n, "r"), n
+
+
+def with_next(dealt_: DataFrame, **more: Column) -> DataFrame:
+    """r, rn, doc_id, text, next_text, and for each of more its value and the next row's: rows of dealt(), each with its next."""
     over = Window.partitionBy("r").orderBy("again", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
-    led = dealt.select("r", "again", "doc_id", "text", F.lead("text").over(over).alias("next_text"), F.row_number().over(over).alias("rn"))
-    return led.where(~F.col("again")).select("r", "rn", "doc_id", "text", "next_text"), n
+    rows = dealt_.select("*", *[c.alias(n) for n, c in more.items()])
+    names = ["text", *more]
+    led = rows.select("r", "again", "doc_id", *names, *[F.lead(c).over(over).alias(f"next_{c}") for c in names], F.row_number().over(over).alias("rn"))
+    return led.where(~F.col("again")).drop("again")
 
 
 def edited() -> Column:
@@ -225,25 +256,32 @@ def edited() -> Column:
     return F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """r, rn, v, a, b, x, y, size: each row's digests with those of its edited text (v 0) and of the next row's (v 1)."""
-    found = rows.select("r", "rn", digests(F.col("text")).alias("a"), digests(edited()).alias("e"), digests(F.col("next_text")).alias("z"))
-    both = F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("b")) for v, c in ((0, "e"), (1, "z"))])
-    each = found.select("r", "rn", "a", F.explode(both).alias("p")).select("r", "rn", "p.v", "a", "p.b")
-    n = lambda c: F.size(c).cast("long")
-    return each.select("*", n("a").alias("x"), n("b").alias("y"), F.greatest(size_for(F.size("a")), size_for(F.size("b"))).alias("size"))
+def likeness(dealt_: DataFrame, larger: int = 0, open_: DataFrame | None = None) -> DataFrame:
+    """r, rn, v, common, union, clean: each row's digests with those of its edited text (v 0) and of the next row's (v 1),
+    from the difference of two sketches of the larger one's size.
 
-
-def nearness(rows: DataFrame, n: int, attempts: int = 8) -> DataFrame:
-    """r, rn, near_edited, near_next, a written table; rows with a pair that doesn't peel go again with larger sketches.
-
-    n: the number of partitions by r that rows have.
+    larger: how often sketches have failed; each time they have four times the cells. open_: r, rn of the rows wanted.
     """
+    own = digests(F.col("text"))
+    if open_ is None:
+        found = with_next(dealt_, a=own).select("r", "rn", "a", digests(edited()).alias("e"), F.col("next_a").alias("z"))
+    else:
+        rows = with_next(dealt_).join(open_, ["r", "rn"], "left_semi")
+        found = rows.select("r", "rn", own.alias("a"), digests(edited()).alias("e"), digests(F.col("next_text")).alias("z"))
+    both = F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("o")) for v, c in ((0, "e"), (1, "z"))])
+    each = found.select("r", "rn", "a", F.explode(both).alias("p")).select("r", "rn", "p.v", "a", "p.o")
+    size = F.greatest(size_for(F.size("a")), size_for(F.size("o"))) * 4**larger
+    pairs = each.select("r", "rn", "v", size.alias("size"), F.concat(signed(F.col("a"), 1), signed(F.col("o"), -1)).alias("signed"), F.size("a").alias("x"), F.size("o").alias("y"))
+    keys = ["r", "rn", "v", "size"]
+    return counted(peeled(sketched(pairs, keys, tally(F.col("x"), F.col("y"))), keys), ["r", "rn", "v"])
+
+
+def nearness(dealt_: DataFrame, attempts: int = 8) -> DataFrame:
+    """r, rn, v, common, union: likeness() of all pairs; rows with one that doesn't peel go again with larger sketches."""
     held: list[DataFrame] = []
     for larger in range(attempts):
-        open_ = held[-1].where(~F.col("clean")).select("r", "rn").repartition(n, "r").distinct() if held else None
-        todo = rows if open_ is None else rows.join(open_, ["r", "rn"], "left_semi")
-        held.append(materialize(likeness(_pairs(todo), ["r", "rn", "v"], larger)))
+        open_ = held[-1].where(~F.col("clean")).select("r", "rn").distinct() if held else None
+        held.append(materialize(likeness(dealt_, larger, open_)))
         if held[-1].where(~F.col("clean")).isEmpty():
             break
     else:
@@ -251,32 +289,11 @@ def nearness(rows: DataFrame, n: int, attempts: int = 8) -> DataFrame:
     every = held[0]
     for more in held[1:]:
         every = every.unionByName(more)
-    near = [F.max(F.when(F.col("v") == v, F.col("near"))).alias(c) for v, c in ((0, "near_edited"), (1, "near_next"))]
-    out = materialize(every.where("clean").groupBy("r", "rn").agg(*near))
+    out = materialize(every.where("clean").groupBy("r", "rn", "v").agg(F.max("common").alias("common"), F.max("union").alias("union")))
     release(*held)
     return out
 
 
-def prints(rows: DataFrame) -> DataFrame:
-    """r, rn, fingerprint, edited_fingerprint: the published sketches of each row's text and its edited text."""
-    two = F.array(*[F.struct(F.lit(v).alias("v"), digests(t).alias("d")) for v, t in ((0, F.col("text")), (1, edited()))])
-    each = rows.select("r", "rn", F.explode(two).alias("p")).select("r", "rn", "p.v", signed(F.col("p.d"), 1).alias("signed"), F.size("p.d").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), size_for(F.size("p.d")).alias("size"))
-    cells = sketched(each, ["r", "rn", "v"])
-    got = cells.groupBy("r", "rn").agg(F.collect_list(F.struct("v", "cell", "n", "k", "c", "x", "size")).alias("all"))
-
-    def text(v: int) -> Column:
-        mine = F.filter("all", lambda e: e["v"] == v)
-
-        def whole(mine: Column) -> Column:
-            own = F.transform(F.filter(mine, lambda e: e["cell"] != TALLY), lambda e: F.struct(e["cell"].alias("cell"), e["n"].alias("n"), e["k"].alias("k"), e["c"].alias("c")))
-            head = F.filter(mine, lambda e: e["cell"] == TALLY)[0]
-            return published(own, head["x"], head["size"])
-
-        return let(mine, whole)
-
-    return got.select("r", "rn", text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row for each row of docs.
 
@@ -285,9 +302,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     empty. Likeness is that of the distinct paragraphs, recovered from the difference of two sketches of the size of the
     larger fingerprint; two texts without any are alike. An empty table gives no rows.
     """
-    rows, n = with_next(docs)
-    # as many partitions by the same key as rows have, so that nothing but these few numbers moves
-    near = nearness(rows, n).repartition(n, "r")
-    told = rows.select("r", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited(), 256).alias("edited_sha256"))
-    out = prints(rows).join(told, ["r", "rn"]).join(near, ["r", "rn"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    rows, n = dealt(docs)
+    near = nearness(rows)
+    rows = with_next(rows)
+    # whatever belongs to a row is notes of its first sketch: numbers alone, so that rows meet by sums in their partition
+    sha = F.sha2(edited(), 256)
+    words = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"w{i}") for i in range(4)]
+    two = F.array(*[F.struct(F.lit(v).alias("v"), digests(t).alias("d")) for v, t in ((0, F.col("text")), (1, edited()))])
+    told = rows.select("r", "rn", F.col("doc_id").isNull().cast("int").alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.length("text").alias("n_chars"), *words, F.explode(two).alias("p"))
+    each = told.select("*", "p.v", size_for(F.size("p.d")).alias("size"), F.size("p.d").alias("count"), signed(F.col("p.d"), 1).alias("signed"))
+    notes = [
+        _cell(F.lit(TALLY), F.lit(0), F.col("count"), F.col("size")),
+        _cell(F.lit(OWN), F.col("null"), F.col("id"), F.col("n_chars")),
+        _cell(F.lit(SHA), F.lit(0), F.col("w0"), F.col("w1")),
+        _cell(F.lit(SHA - 1), F.lit(0), F.col("w2"), F.col("w3")),
+    ]
+    cells = sketched(each, ["r", "rn", "v", "size"], *notes)
+
+    def note(place: int, field: str) -> Column:
+        return F.max(F.when(F.col("cell") == place, F.col(field))).alias(f"{field}{-place}")
+
+    one = cells.select("*", published_cell().alias("t")).groupBy("r", "rn", "v").agg(
+        F.collect_list(F.when(F.col("cell") >= 0, F.struct("cell", "t"))).alias("cells"),
+        note(TALLY, "k"), note(TALLY, "c"), note(OWN, "n"), note(OWN, "k"), note(OWN, "c"), *[note(SHA - i, f) for i in (0, 1) for f in ("k", "c")])
+    hexed = [F.lpad(F.hex(f"{f}{-SHA + i}"), 16, "0") for i in (0, 1) for f in ("k", "c")]
+    none, number, text = F.lit(None), F.lit(None).cast("long"), F.lit(None).cast("string")
+    shown = one.select(
+        "r", "rn", "v", published(F.col("cells"), F.col(f"k{-TALLY}"), F.col(f"c{-TALLY}")).alias("print"), F.when(F.col(f"n{-OWN}") == 0, F.col(f"k{-OWN}")).alias("doc_id"),
+        F.col(f"c{-OWN}").alias("n_chars"), F.lower(F.concat(*hexed)).alias("sha"), none.cast("double").alias("near"))
+    # dealt as rows are, so that nothing but these few numbers moves
+    likes = near.repartition(n, "r").select("r", "rn", "v", text.alias("print"), number.alias("doc_id"), number.alias("n_chars"), text.alias("sha"), share(F.col("common"), F.col("union")).alias("near"))
+    of = lambda v, c: F.max(F.when(F.col("v") == v, F.col(c)))
+    return shown.union(likes).groupBy("r", "rn").agg(
+        of(0, "doc_id").alias("doc_id"), of(0, "n_chars").alias("n_chars"), of(0, "sha").alias("edited_sha256"), of(0, "print").alias("fingerprint"),
+        of(1, "print").alias("edited_fingerprint"), of(0, "near").alias("near_edited"), of(1, "near").alias("near_next")).drop("r", "rn")
