@@ -24,8 +24,9 @@ NEAR = 2
 FAR = ((32, 8), (128, 16), (512, 32))
 #: Words with more letters are cut too.
 WORD = 64
-#: Cells in a third of a sketch: this at least, and the least power of two that is twice the number of digests.
-LEAST = 32
+#: Cells in a third of a sketch: this at least, and the least power of two that is four times the number of digests. Only
+#: cells that aren't empty are stored, so room costs nothing.
+LEAST = 128
 #: Passes over the three thirds; what is left then counts as failed.
 PASSES = 3
 #: Bytes of text that a task is to have, as long as tasks aren't more than MORE times the shuffle's partitions.
@@ -84,7 +85,7 @@ def digests(text: Column) -> Column:
 
 def size_for(n: Column) -> Column:
     """Cells in a third of the sketch of n digests."""
-    return F.greatest(F.lit(LEAST), F.pow(2.0, F.ceil(F.log2(F.greatest(2 * n, F.lit(1))))).cast("int"))
+    return F.greatest(F.lit(LEAST), F.pow(2.0, F.ceil(F.log2(F.greatest(4 * n, F.lit(1))))).cast("int"))
 
 
 def check(d: Column) -> Column:
@@ -260,7 +261,7 @@ def likeness(dealt_: DataFrame, larger: int = 0, open_: DataFrame | None = None)
     """r, rn, v, common, union, clean: each row's digests with those of its edited text (v 0) and of the next row's (v 1),
     from the difference of two sketches of the larger one's size.
 
-    larger: how often sketches have failed; each time they have four times the cells. open_: r, rn of the rows wanted.
+    larger: how often sketches have failed; each time they have sixteen times the cells. open_: r, rn of the rows wanted.
     """
     own = digests(F.col("text"))
     if open_ is None:
@@ -270,7 +271,7 @@ def likeness(dealt_: DataFrame, larger: int = 0, open_: DataFrame | None = None)
         found = rows.select("r", "rn", own.alias("a"), digests(edited()).alias("e"), digests(F.col("next_text")).alias("z"))
     both = F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("o")) for v, c in ((0, "e"), (1, "z"))])
     each = found.select("r", "rn", "a", F.explode(both).alias("p")).select("r", "rn", "p.v", "a", "p.o")
-    size = F.greatest(size_for(F.size("a")), size_for(F.size("o"))) * 4**larger
+    size = F.greatest(size_for(F.size("a")), size_for(F.size("o"))) * 16**larger
     pairs = each.select("r", "rn", "v", size.alias("size"), F.concat(signed(F.col("a"), 1), signed(F.col("o"), -1)).alias("signed"), F.size("a").alias("x"), F.size("o").alias("y"))
     keys = ["r", "rn", "v", "size"]
     return counted(peeled(sketched(pairs, keys, tally(F.col("x"), F.col("y"))), keys), ["r", "rn", "v"])
