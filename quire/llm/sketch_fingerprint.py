@@ -47,13 +47,9 @@ def paragraphs(text: Column) -> Column:
     too; farther on one word in so many is chosen, and runs grow with the distance from the start of the text, never by
     its length. Overlong words are runs of letters, cut likewise.
     """
-    long = lambda w: F.length(w) > WORD
-    letters = lambda w: F.concat(F.filter(F.split(w, ""), lambda x: x != ""), F.array(F.lit(" ")))
-    spaced = lambda w: F.concat(w, F.lit(" "))
-    each = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(long(w), letters(w)).otherwise(F.array(spaced(w)))))
-    units = let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda ws: F.when(F.exists(ws, long), each(ws)).otherwise(F.transform(ws, spaced)))
+    def cut(us: Column, hs: Column, between: str) -> Column:
+        """us joined, with a line feed behind the chosen ones."""
 
-    def cut(us: Column, hs: Column) -> Column:
         def marked(u: Column, i: Column) -> Column:
             def least(h: Column) -> Column:
                 out = F.lit(True)
@@ -67,9 +63,19 @@ def paragraphs(text: Column) -> Column:
             chosen = F.when(i < FAR[0][0], let(F.get(hs, i), least)).otherwise(F.pmod(F.get(hs, i), one) == 0)
             return F.when(chosen, F.concat(u, F.lit("\n"))).otherwise(u)
 
-        return F.split(F.array_join(F.transform(us, marked), ""), "\n")
+        return F.array_join(F.transform(us, marked), between)
 
-    return F.filter(let(units, lambda us: let(F.transform(us, lambda u: F.xxhash64(u)), lambda hs: cut(us, hs))), lambda p: p != "")
+    def letters(words: Column) -> Column:
+        """Where some words are overlong: units with the space behind them."""
+        each = lambda w: F.when(F.length(w) > WORD, F.concat(F.filter(F.split(w, ""), lambda x: x != ""), F.array(F.lit(" ")))).otherwise(F.array(F.concat(w, F.lit(" "))))
+        units = F.flatten(F.transform(words, each))
+        return let(units, lambda us: let(F.transform(us, lambda u: F.xxhash64(u)), lambda hs: cut(us, hs, "")))
+
+    words = F.split(F.regexp_replace(text, r"^\s+|\s+\z", ""), r"\s+")
+    plain = let(words, lambda ws: let(F.transform(ws, lambda w: F.xxhash64(F.concat(w, F.lit(" ")))), lambda hs: cut(ws, hs, " ")))
+    odd = text.rlike(f"\\S{{{WORD + 1}}}")
+    runs = F.split(F.when(odd, letters(words)).otherwise(plain), "\n")
+    return F.filter(F.transform(runs, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def digests(text: Column) -> Column:
