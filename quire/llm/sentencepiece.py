@@ -16,7 +16,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ END = 0x1FFFFF
 #: Characters of texts that are worked on together; a longer text is alone.
 TOGETHER = 500_000
 #: Characters of distinct words that a worker keeps at most, before those of the next texts.
-STORE = 1_500_000
+STORE = 3_000_000
 SAMPLES, THETA, SEED = 2, 1.0, 42
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -127,9 +127,9 @@ class Vocabulary:
         weight[normal] = np.log(np.arange(1, len(normal) + 1))
         total = np.log(np.sum(1.0 / np.arange(1, len(normal) + 1)))
         self.log, self.byte_log = -weight - total, -np.log(len(normal)) - total
-        self.bytes = np.frombuffer(b"".join(out), np.uint8)
+        # each piece's bytes, and behind them all pieces as they are at the start of a text
+        self.bytes = pa.array(out + [x.removeprefix(b" ") for x in out], pa.large_binary())
         self.sizes = np.fromiter(map(len, out), np.int64, n)
-        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words as parts of a text, one after the other, and how many each has.
@@ -138,17 +138,29 @@ class Vocabulary:
         """
         parts = [np.array(self.model.encode("\n" + "\n".join(words[i : i + 256])), np.int32)[1:] for i in range(0, len(words), 256)]
         ids = np.concatenate([np.zeros(0, np.int32), *parts])
-        feeds = np.flatnonzero(ids == self.byte[10])
-        before = np.cumsum(np.fromiter((w.count("\n") + 1 for w in words), np.int64, len(words)))
-        apart = feeds[np.append(0, before[:-1])] if words else feeds
+        feeds = apart = np.flatnonzero(ids == self.byte[10])
+        if len(feeds) != len(words):
+            before = np.cumsum(pc.count_substring(pa.array(words, pa.large_string()), "\n").to_numpy() + 1)
+            apart = feeds[np.append(0, before[:-1])]
         return np.delete(ids, apart), (np.diff(np.append(apart, len(ids))) - 1).astype(np.int32)
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Bytes of each list of ids, without the space that encoding puts in front."""
-        size = self.sizes[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        data = self.bytes[np.repeat(self.starts[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-        return [data[a:b].removeprefix(b" ") for a, b in pairwise(ends[offsets].tolist())]
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The text of each list of ids, without the space that encoding puts in front; what is no UTF-8 is U+FFFD."""
+        ids, first = ids.astype(np.int32), offsets[:-1].astype(np.int64)
+        # where the first id that stands for anything is
+        at, end = first, offsets[1:]
+        while len(at):
+            at, end = at[at < end], end[at < end]
+            none = self.sizes[ids[at]] == 0
+            ids[at[~none]] += len(self.sizes)
+            at, end = at[none] + 1, end[none]
+        data = self.bytes.take(pa.array(ids))
+        ends = np.frombuffer(data.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends[offsets]), data.buffers()[2]])
+        try:
+            return found.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode(errors="replace") for x in found.to_pylist()], pa.string())
 
 
 @lru_cache(1)
@@ -165,6 +177,7 @@ class Lattice:
         self.first = self.last = self.src = self.dst = self.id = np.zeros(0, np.int32)
         self.log = self.cum = np.zeros(0)
         self.odd: list[np.ndarray] = []
+        self.room: dict[str, np.ndarray] = {}
 
     def extend(self, v: Vocabulary, words: list[str], theta: float) -> None:
         """Adds words behind those that are there."""
@@ -226,19 +239,29 @@ class Lattice:
             now, left, r = left[here], left[~here], r + 1
             cum[now] += cum[now - 1]
         nodes, edges = np.int32(len(self.inside)), np.int32(len(self.src))
-        self.start = np.append(self.start, ends - size + nodes)
-        self.inside = np.append(self.inside, inside)
-        self.first, self.last = np.append(self.first, first + edges), np.append(self.last, first + count - 1 + edges)
-        self.src, self.dst, self.id = np.append(self.src, src + nodes), np.append(self.dst, dst + nodes), np.append(self.id, ids)
-        self.log, self.cum = np.append(self.log, log), np.append(self.cum, cum)
+        self.append(start=(ends - size + nodes).astype(np.int64), inside=inside, first=first + edges, last=first + count - 1 + edges)
+        self.append(src=src + nodes, dst=dst + nodes, id=ids, log=log, cum=cum)
         self.odd += bytes_
 
+    def append(self, **more: np.ndarray) -> None:
+        """Puts numbers behind those of each name, in room that grows by half."""
+        for name, new in more.items():
+            old, room = getattr(self, name), self.room.get(name)
+            n = len(old) + len(new)
+            if room is None or len(room) < n:
+                room = self.room[name] = np.empty(n + n // 2, new.dtype)
+                room[: len(old)] = old
+            room[len(old) : n] = new
+            setattr(self, name, room[:n])
+
     def rest(self, edges: np.ndarray) -> np.ndarray:
         """Log-probability that a step doesn't take the edge."""
-        with np.errstate(divide="ignore"):
-            out = np.log1p(-np.minimum(np.exp(self.log[edges]), 1 - 2.0**-53))
-        out[self.first[self.src[edges]] == self.last[self.src[edges]]] = -np.inf
-        return out
+        return np.log1p(-np.minimum(np.exp(self.log[edges]), 1 - 2.0**-53))
+
+    def choices(self, edges: np.ndarray) -> np.ndarray:
+        """Places of the steps that could have gone another way."""
+        src = self.src[edges]
+        return np.flatnonzero(self.first[src] < self.last[src])
 
     def paths(self, node: np.ndarray, base: np.ndarray, seed: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a sampled way from each node to its word's end, one after the other, and how many each has."""
@@ -246,11 +269,15 @@ class Lattice:
         node, count = node[who], np.zeros(len(node), np.int64)
         while len(who):
             e, last = self.first[node], self.last[node]
-            u = uniform(seed[who], stream, base[who] + node)
-            more = np.flatnonzero((u >= self.cum[e]) & (e < last))
+            more = np.flatnonzero(e < last)
+            at = who[more]
+            u = uniform(seed[at], stream, base[at] + node[more])
             while len(more):
+                on = np.flatnonzero(u >= self.cum[e[more]])
+                more, u = more[on], u[on]
                 e[more] += 1
-                more = more[(u[more] >= self.cum[e[more]]) & (e[more] < last[more])]
+                on = np.flatnonzero(e[more] < last[more])
+                more, u = more[on], u[on]
             steps.append((who, e))
             count[who] += 1
             node = self.dst[e]
@@ -279,8 +306,11 @@ class _Row:
     def __init__(self, words: tuple[int, int], seed: np.ndarray) -> None:
         self.words, self.seed, self.agenda, self.paths, self.found = words, seed, [], [], []
 
-    def add(self, lattice: Lattice, path: np.ndarray, word: np.ndarray, noise: np.ndarray, rest: np.ndarray, fork: tuple | None, bound: float, want: int) -> None:
-        """Takes a path as the next sample and splits what is left of its set; noise and rest are of the steps behind the fork."""
+    def add(self, lattice: Lattice, path: np.ndarray, word: np.ndarray, noise: np.ndarray, fork: tuple | None, bound: float, want: int) -> None:
+        """Takes a path as the next sample and splits what is left of its set.
+
+        noise: of the steps behind the fork, perturbed log-probability of not taking the edge, -inf where it is the only one.
+        """
         r = len(self.paths)
         self.paths.append((path, word))
         after = np.cumsum(lattice.log[path])
@@ -291,7 +321,7 @@ class _Row:
             t, taken, base = fork
             skip = t + 1
             self.put(lattice, r, t, [*taken, int(path[t])], base, bound)
-        score = before[skip:] + rest + noise
+        score = before[skip:] + noise
         best = np.flatnonzero(score > -np.inf)
         if len(best) > want:
             best = best[np.argpartition(-score[best], want - 1)[:want]]
@@ -352,14 +382,15 @@ def samples(lattice: Lattice, code: np.ndarray, cuts: np.ndarray, seeds: np.ndar
         w, node = np.concatenate(which), np.concatenate(nodes)
         edges, count = lattice.paths(node, base[w], seed[w], 3 * r + 1)
         words = np.repeat(w, count)
-        noise = gumbel(uniform(seed[words], 3 * r + 2, base[words] + lattice.src[edges] + (1 << 40)))
-        rest = lattice.rest(edges)
+        noise, free = np.full(len(edges), -np.inf), lattice.choices(edges)
+        at = words[free]
+        noise[free] = lattice.rest(edges[free]) + gumbel(uniform(seed[at], 3 * r + 2, base[at] + lattice.src[edges[free]] + (1 << 40)))
         ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum([len(x) for x in which])])].tolist()
         for (row, _, t, taken, before, bound), fork, (a, b) in zip(todo, forks, pairwise(ends), strict=True):
             path, word = edges[a:b], words[a:b]
             if fork:
                 path, word = np.concatenate([fork[0], [fork[2]], path]), np.concatenate([fork[1], [fork[3]], word])
-            row.add(lattice, path, word, noise[a:b], rest[a:b], (t, taken, before) if fork else None, bound, k - r)
+            row.add(lattice, path, word, noise[a:b], (t, taken, before) if fork else None, bound, k - r)
         if r + 1 < k:
             todo = []
             for row in rows:
@@ -389,20 +420,25 @@ class Segmenter:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        # words with and without the space in front that cutting at spaces takes away
+        self.code: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.lattice = Lattice()
         self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def learn(self, words: list[str]) -> None:
-        ids, size = self.v.encode(words)
-        self.size, self.flat = np.append(self.size, size), np.append(self.flat, ids)
-        self.lattice.extend(self.v, words, self.theta)
-        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        if new := list(dict.fromkeys(w for w in words if w not in self.code)):
-            self.learn(new)
-        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+    def codes(self, words: list[str], whole: bool = False) -> np.ndarray:
+        """Numbers of words, after learning the new ones; whole: as they are, or else a space goes in front."""
+        code = self.code[whole]
+        out = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(out < 0).tolist()
+        if new:
+            first = list(dict.fromkeys(words[i] for i in new))
+            full = first if whole else [SPACE + w for w in first]
+            ids, size = self.v.encode(full)
+            code.update(zip(first, range(len(self.size), len(self.size) + len(first)), strict=True))
+            self.size, self.flat = np.append(self.size, size), np.append(self.flat, ids)
+            self.lattice.extend(self.v, full, self.theta)
+            out[new] = [code[words[i]] for i in new]
+        return out
 
     def __call__(self, texts_: list[str], seeds: np.ndarray, k: int) -> tuple[list[np.ndarray], list]:
         """For each text its encoding and its samples."""
@@ -414,12 +450,12 @@ class Segmenter:
         lists = pc.split_pattern(pa.array([None if i in own else t for i, t in enumerate(texts_)], pa.large_string()), " ")
         count = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
         known = lists.flatten().dictionary_encode()
-        code = self.codes([SPACE + w for w in known.dictionary.to_pylist()])[known.indices.to_numpy()]
+        code = self.codes(known.dictionary.to_pylist())[known.indices.to_numpy()]
         del lists, known
         if odd:
             here = np.cumsum(count)[odd] - count[odd]
             count[odd] = [len(own[i]) for i in odd]
-            code = np.insert(code, np.repeat(here, count[odd]), self.codes(list(chain.from_iterable(own.values()))))
+            code = np.insert(code, np.repeat(here, count[odd]), self.codes(list(chain.from_iterable(own.values())), whole=True))
         cuts = np.concatenate([[0], np.cumsum(count)])
         each, start = self.size[code].astype(np.int64), (np.cumsum(self.size, dtype=np.int64) - self.size)[code]
         ends = np.concatenate([[0], np.cumsum(each)])
@@ -465,7 +501,7 @@ def encodings(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA
                 columns = [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), lists, *[pa.array([x[i] for x in flat], pa.float64()) for i in (3, 4, 5)]]
                 del flat
                 if decode:
-                    columns.append(_texts(segment.v.decode(lists.values.to_numpy(), lists.offsets.to_numpy())))
+                    columns.append(segment.v.decode(lists.values.to_numpy(), lists.offsets.to_numpy()))
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
                 del columns, lists
                 at = end
@@ -473,13 +509,6 @@ def encodings(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA
     return texts(docs).mapInArrow(rows, SCHEMA + ", text string" if decode else SCHEMA)
 
 
-def _texts(data: list[bytes]) -> pa.Array:
-    try:
-        return pa.array(data, pa.binary()).cast(pa.string())
-    except pa.ArrowInvalid:
-        return pa.array([x.decode(errors="replace") for x in data], pa.string())
-
-
 def decoded(encoded: DataFrame, path: str) -> DataFrame:
     """All columns of encoded and text, that its ids stand for; null ids stand for the empty text.
 
@@ -498,7 +527,7 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
             at = 0
             while at < len(sizes):
                 end = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
-                text = _texts(v.decode(flat[ends[at] : ends[end]], ends[at : end + 1] - ends[at]))
+                text = v.decode(flat[ends[at] : ends[end]], ends[at : end + 1] - ends[at])
                 part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, "text"])
                 at = end
