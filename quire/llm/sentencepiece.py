@@ -53,6 +53,11 @@ def gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
+def rest(log: np.ndarray) -> np.ndarray:
+    """Log-probability that a step doesn't take an edge that isn't the only one."""
+    return np.log1p(-np.minimum(np.exp(log), 1 - 2.0**-53))
+
+
 class Table:
     """Numbers by key, in open addressing with at most a quarter of the places taken."""
 
@@ -254,22 +259,19 @@ class Lattice:
             room[len(old) : n] = new
             setattr(self, name, room[:n])
 
-    def rest(self, edges: np.ndarray) -> np.ndarray:
-        """Log-probability that a step doesn't take the edge."""
-        return np.log1p(-np.minimum(np.exp(self.log[edges]), 1 - 2.0**-53))
-
-    def choices(self, edges: np.ndarray) -> np.ndarray:
-        """Places of the steps that could have gone another way."""
-        src = self.src[edges]
-        return np.flatnonzero(self.first[src] < self.last[src])
-
-    def paths(self, node: np.ndarray, base: np.ndarray, seed: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of a sampled way from each node to its word's end, one after the other, and how many each has."""
-        who, steps = np.flatnonzero(self.inside[node]), []
-        node, count = node[who], np.zeros(len(node), np.int64)
-        while len(who):
-            e, last = self.first[node], self.last[node]
-            more = np.flatnonzero(e < last)
+    def paths(self, node: np.ndarray, base: np.ndarray, seed: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges of a sampled way from each node to its word's end, one after the other, whether each was a choice,
+        and how many each way has."""
+        who, count, steps = np.arange(len(node)), np.zeros(len(node), np.int64), []
+        e, last = self.first[node], self.last[node]
+        while True:
+            # the end of a word has no edge
+            on = np.flatnonzero(e <= last)
+            if not len(on):
+                break
+            who, node, e, last = who[on], node[on], e[on], last[on]
+            choice = e < last
+            more = np.flatnonzero(choice)
             at = who[more]
             u = uniform(seed[at], stream, base[at] + node[more])
             while len(more):
@@ -278,15 +280,16 @@ class Lattice:
                 e[more] += 1
                 on = np.flatnonzero(e[more] < last[more])
                 more, u = more[on], u[on]
-            steps.append((who, e))
+            steps.append((who, e, choice))
             count[who] += 1
             node = self.dst[e]
-            on = self.inside[node]
-            who, node = who[on], node[on]
-        out, begin = np.empty(int(count.sum()), np.int64), np.cumsum(count) - count
-        for i, (who, e) in enumerate(steps):
-            out[begin[who] + i] = e
-        return out, count
+            e, last = self.first[node], self.last[node]
+        out, begin = np.empty(int(count.sum()), np.int32), np.cumsum(count) - count
+        free = np.empty(len(out), bool)
+        for i, (who, e, choice) in enumerate(steps):
+            at = begin[who] + i
+            out[at], free[at] = e, choice
+        return out, free, count
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         ids = self.id[edges]
@@ -306,16 +309,16 @@ class _Row:
     def __init__(self, words: tuple[int, int], seed: np.ndarray) -> None:
         self.words, self.seed, self.agenda, self.paths, self.found = words, seed, [], [], []
 
-    def add(self, lattice: Lattice, path: np.ndarray, word: np.ndarray, noise: np.ndarray, fork: tuple | None, bound: float, want: int) -> None:
+    def add(self, lattice: Lattice, path: np.ndarray, word: np.ndarray, log: np.ndarray, noise: np.ndarray, fork: tuple | None, bound: float, want: int) -> None:
         """Takes a path as the next sample and splits what is left of its set.
 
         noise: of the steps behind the fork, perturbed log-probability of not taking the edge, -inf where it is the only one.
         """
         r = len(self.paths)
-        self.paths.append((path, word))
-        after = np.cumsum(lattice.log[path])
+        self.paths.append((path, word, log))
+        after = np.cumsum(log)
         self.found.append((float(after[-1]) if len(path) else 0.0, bound))
-        before = after - lattice.log[path]
+        before = after - log
         skip = 0
         if fork:
             t, taken, base = fork
@@ -367,7 +370,7 @@ def samples(lattice: Lattice, code: np.ndarray, cuts: np.ndarray, seeds: np.ndar
                 nodes.append(lattice.start[code[which[-1]]])
                 forks.append(None)
                 continue
-            path, word = row.paths[parent]
+            path, word, logs = row.paths[parent]
             free = _Row.free(lattice, taken)
             p = np.cumsum(np.exp(lattice.log[free]))
             u = uniform(row.seed, 3 * r + 3, np.array([t]))[0] * p[-1]
@@ -376,21 +379,22 @@ def samples(lattice: Lattice, code: np.ndarray, cuts: np.ndarray, seeds: np.ndar
             start = lattice.start[code[which[-1]]]
             start[0] = lattice.dst[edge]
             nodes.append(start)
-            forks.append((path[:t], word[:t], edge, word[t]))
+            forks.append((path[:t], word[:t], edge, word[t], logs[:t]))
         if not todo:
             break
         w, node = np.concatenate(which), np.concatenate(nodes)
-        edges, count = lattice.paths(node, base[w], seed[w], 3 * r + 1)
+        edges, choice, count = lattice.paths(node, base[w], seed[w], 3 * r + 1)
         words = np.repeat(w, count)
-        noise, free = np.full(len(edges), -np.inf), lattice.choices(edges)
+        log, noise, free = lattice.log[edges], np.full(len(edges), -np.inf), np.flatnonzero(choice)
         at = words[free]
-        noise[free] = lattice.rest(edges[free]) + gumbel(uniform(seed[at], 3 * r + 2, base[at] + lattice.src[edges[free]] + (1 << 40)))
+        noise[free] = rest(log[free]) + gumbel(uniform(seed[at], 3 * r + 2, base[at] + lattice.src[edges[free]] + (1 << 40)))
         ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum([len(x) for x in which])])].tolist()
         for (row, _, t, taken, before, bound), fork, (a, b) in zip(todo, forks, pairwise(ends), strict=True):
-            path, word = edges[a:b], words[a:b]
+            path, word, logs = edges[a:b], words[a:b], log[a:b]
             if fork:
                 path, word = np.concatenate([fork[0], [fork[2]], path]), np.concatenate([fork[1], [fork[3]], word])
-            row.add(lattice, path, word, noise[a:b], (t, taken, before) if fork else None, bound, k - r)
+                logs = np.concatenate([fork[4], [lattice.log[fork[2]]], logs])
+            row.add(lattice, path, word, logs, noise[a:b], (t, taken, before) if fork else None, bound, k - r)
         if r + 1 < k:
             todo = []
             for row in rows:
@@ -450,7 +454,7 @@ class Segmenter:
         lists = pc.split_pattern(pa.array([None if i in own else t for i, t in enumerate(texts_)], pa.large_string()), " ")
         count = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
         known = lists.flatten().dictionary_encode()
-        code = self.codes(known.dictionary.to_pylist())[known.indices.to_numpy()]
+        code = self.codes(_cut(known.dictionary))[known.indices.to_numpy()]
         del lists, known
         if odd:
             here = np.cumsum(count)[odd] - count[odd]
@@ -464,6 +468,12 @@ class Segmenter:
         return encoded, samples(self.lattice, code, cuts, seeds, k) if k else [[] for _ in texts_]
 
 
+def _cut(words: pa.Array) -> list[str]:
+    """Strings without spaces, as one that is cut again, which is faster than one by one."""
+    joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+    return joined.split(" ") if len(words) else []
+
+
 @lru_cache(1)
 def segmenter(path: str, theta: float) -> Segmenter:
     """One for each worker, whatever the number of its tasks."""
