@@ -470,7 +470,7 @@ class Segmenter:
 
 def _cut(words: pa.Array) -> list[str]:
     """Strings without spaces, as one that is cut again, which is faster than one by one."""
-    joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py()
     return joined.split(" ") if len(words) else []
 
 
