@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from quire.llm.pii import pii_spans
+from pyspark.sql import functions as F
+
+from quire.llm.pii import FOUND, instances, pii_spans
 
 RX = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -75,3 +77,30 @@ def test_contexts_of_values_with_spaces(spark):
 
 def _luhn(card):
     return luhn(card.replace(" ", ""))
+
+
+def test_patterns_of_several_words_and_of_what_follows(spark):
+    full, short = "+1 (017) 555-77{:02d}", "+1 (017) 5-{:02d}"  # the short ones have seven digits and no form
+    rows = [(i, f"q{i}a my number is {full.format(i)} z{i}b") for i in range(20)]
+    rows += [(100 + i, f"q{i}c room number is {short.format(i)} z{i}d") for i in range(20)]
+    rows += [(200 + i, f"q{i}e w{i}f {full.format(50 + i)}, rings here z{i}g") for i in range(20)]
+    rows += [(300, f"my number is {short.format(90)} or"), (301, f"some w {short.format(91)} rings here now"), (302, f"some w {short.format(92)} is here now")]
+    got = {r.doc_id: r.spans for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300] == "phone:13:26" and got[301] == "phone:7:20" and got[302] == ""
+    assert all(got[100 + i] == "" for i in range(20))
+
+
+def test_words_about_a_value(spark):
+    texts = ["1a", "x 1a", "1a 2b 3c 4d 5e", "One  two\nThree four 7z, five\tsix seven eight", " 1a 2b ", "no", "a1 " * 5000, "w " * 3000 + "9 " + "v " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none_ = F.array().cast(FOUND)
+    got = rows.select("doc_id", instances(F.col("text"), none_).alias("x")).collect()
+    for r in got:
+        words = texts[r.doc_id].split()
+        want = []
+        for i, w in enumerate(words):
+            if re.search("[0-9@]", w):
+                before = ["^", *words[max(0, i - 3) : i]][-3:] if i < 3 else words[i - 3 : i]
+                after = [*words[i + 1 : i + 4], "$"][:3]
+                want.append((w.strip(","), " ".join(before).lower(), " ".join(after).lower()))
+        assert [(x["value"], x["left"].strip(), x["right"].strip()) for x in r.x if " " not in x["value"]] == want, r.doc_id
