@@ -1,7 +1,8 @@
 """Strings of k tokens that occur again: the frame that suffix-array and substring deduplication share.
 
-Consecutive windows of k tokens that share a minimiser (the smallest hash of q tokens in them) form a run, the
-super-k-mer. A window that occurs again has its minimiser in both places, so first the minimisers are counted;
+Consecutive windows of k tokens that share a minimiser (the smallest hash of q tokens in them, of equal ones the
+leftmost) form a run, the super-k-mer. A window that occurs again has its minimiser in both places, and these are two
+runs, even within one document, as the leftmost is as far from either start; so first the minimisers are counted;
 only runs whose minimiser occurs again travel, each as one packed string, to the bucket of its minimiser, where a
 resolver compares all windows exactly. Equal packed strings meet before they travel: all but the first are settled.
 
@@ -30,6 +31,8 @@ NO_ID = (1 << 63) - 1
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 20
+#: Low bits of a minimiser's key, for its place: of equal hashes in a window the leftmost is taken.
+PLACE = 24
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -110,12 +113,17 @@ def runs(kind: Kind, docs: list[bytes]) -> Runs:
     if n < kind.k:
         return Runs(none.astype(U), none, none, none, none, none)
     at = np.arange(n - kind.q + 1)
-    key = (spans_hash(tokens, at, at + kind.q) & ~U(63)) | (at.astype(U) & U(63))
+    low = U((1 << PLACE) - 1)
+    each = key = (spans_hash(tokens, at, at + kind.q) & ~low) | (at.astype(U) & low)
     width, covered = kind.k - kind.q + 1, 1
     while covered < width:
         step = min(covered, width - covered)
         key = np.minimum(key[: len(key) - step], key[step:])
         covered += step
+    for edge in range(1 << PLACE, len(at), 1 << PLACE):  # where places begin again, windows are looked through one by one
+        for i in range(max(0, edge - width + 1), min(edge, len(key))):
+            hashed = each[i : i + width] & ~low
+            key[i] = hashed.min() | U((i + int(hashed.argmin())) & int(low))
     doc = doc[: len(key)]
     valid = np.arange(len(key)) + kind.k <= ends[doc]
     new = valid.copy()
@@ -127,7 +135,7 @@ def runs(kind: Kind, docs: list[bytes]) -> Runs:
     byte = doc_end - size
     lo = first[start] if kind.words else start
     hi = last[start + windows + kind.k - 2] if kind.words else start + windows + kind.k - 1
-    return Runs(mix(key[start] >> U(6)) >> U(16), doc[start], start - begin, windows, lo - byte[doc[start]], hi - byte[doc[start]])
+    return Runs(mix(key[start] >> U(PLACE)) >> U(16), doc[start], start - begin, windows, lo - byte[doc[start]], hi - byte[doc[start]])
 
 
 def chunks(keys: list[int], ids: list[int | None], raw: list[bytes], kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:

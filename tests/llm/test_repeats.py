@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from quire.llm.substring_dedup import remove_repeated_words
+from quire.llm import repeats
+from quire.llm.substring_dedup import by_sorting, remove_repeated_words
 from quire.llm.suffix_dedup import remove_repeated_bytes
 
 
@@ -54,6 +55,27 @@ def test_against_brute_force(spark, words):
         assert sorted(got, key=str) == brute(rows, 20 if words else 50, words)
 
 
+def test_short_texts_that_repeat_themselves(spark):
+    """Each repeats a few words of its own alone, wherever it lies among the others."""
+    r = random.Random(1)
+    rows = [(d, " ".join(([f"w{d}x{j}" for j in range(r.choice([1, 1, 2, 3, 5]))] * 40)[: r.randint(20, 40)])) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [tuple(x) for x in remove_repeated_words(docs).select("doc_id", "n_words", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute(rows, 20, True)
+
+
+def test_equal_windows_of_a_text_are_in_two_runs(monkeypatch):
+    monkeypatch.setattr(repeats, "PLACE", 7)  # places begin again every 128 words
+    r = random.Random(2)
+    docs = [b" ".join(([b"w%d" % r.randint(0, 50) for _ in range(r.choice([1, 2, 3]))] * 40)[: r.randint(20, 40)]) for _ in range(200)]
+    found = repeats.runs(repeats.Kind(True, 20, 6, True, by_sorting), docs)
+    windows = [len(d.split()) - 19 for d in docs]
+    assert [int(found.n[found.doc == i].sum()) for i in range(200)] == windows
+    for d, s, n in zip(found.doc.tolist(), found.start.tolist(), found.n.tolist(), strict=True):
+        words = docs[d].split()
+        assert len({tuple(words[i : i + 20]) for i in range(s, s + n)}) == n
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeated_words(docs).count() == remove_repeated_bytes(docs).count() == 0
