@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from quire.llm import repeats
@@ -79,3 +80,18 @@ def test_equal_windows_of_a_text_are_in_two_runs(monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeated_words(docs).count() == remove_repeated_bytes(docs).count() == 0
+
+
+def test_many_small_pieces_take_little_room():
+    """At scale a piece holds a few strings of a few rows; each may only take little more than its numbers."""
+    r = random.Random(3)
+    key = np.array([r.getrandbits(63) for _ in range(4)])
+    data = repeats.bundle(key, [0, 1, 2, 3], [r.randint(0, 9000) for _ in range(4)], [r.randint(0, 9000) for _ in range(4)], raw=b"tail")
+    assert len(data) < 120
+    back = repeats.unbundle(data, 4)
+    assert back[0].tolist() == key.tolist() and back[1].tolist() == [0, 1, 2, 3] and back[4] == b"tail"
+    value = np.unique(np.array([r.getrandbits(48) for _ in range(20_000)], np.uint64))
+    shard = repeats.shard_of(value, 64)
+    assert shard[0] == 0 and shard[-1] == 63 and (np.diff(shard) >= 0).all()
+    one = value[shard == 5]
+    assert len(repeats.bundle(repeats.steps(one))) < 5.5 * len(one) and (np.cumsum(repeats.unbundle(repeats.bundle(repeats.steps(one)), 1)[0]) == one.astype(np.int64)).all()
