@@ -74,6 +74,11 @@ def release(*frames: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables by shuffle alone. Estimates of size don't count what explode adds, and a table that is broadcast by them goes through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """Names for columns of our own that clash with none of those taken, in any case."""
     low, out = {c.lower() for c in taken}, []

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh, materialize, release, shuffle_partitions, slices, texts
+from quire.llm.common import fresh, joined, materialize, release, shuffle_partitions, slices, texts
 from quire.llm.components import components
 
 SEED = 42
@@ -157,7 +157,7 @@ def links(fps: DataFrame, distance: int = 3, checked: Callable | None = None, wh
         return rows.select("k", *cols).sortWithinPartitions("k").mapInArrow(found, schema)
 
     counts = keyed.groupBy("k").agg(F.count("*").alias("members")).where("members > 1")
-    shared = keyed.join(counts, "k")
+    shared = joined(keyed, counts, "k")
     wide = shared.where(F.col("members") > whole)
     mask2 = F.array(*[longs(m) for m in second])
     split = wide.select("k", *cols, F.posexplode(F.get(mask2, F.col("t"))).alias("t2", "mask2")).select(F.xxhash64("k", "t2", F.col("fp").bitwiseAND(F.col("mask2"))).alias("k"), *cols)
@@ -175,10 +175,10 @@ def simhash_groups(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
     rows = materialize(fingerprints(texts(docs), k))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select(F.col("fp").alias("node"), F.lit(0).alias("fam"), "fp"), distance))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = joined(nodes, roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = joined(rooted, best, "root").select("fp", "component_id")
+    return joined(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near duplicates for a pipeline: MinHash bands of five-word shingle sets find candidates of similarity 0.8.
@@ -391,22 +391,22 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     nodes = materialize(node.groupBy("node").agg(F.min(first).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("ks").alias("ks")))
     keyed = nodes.select("node", "n", "sig", F.explode("ks").alias("k"))
     counts = keyed.groupBy("k").agg(F.count("*").alias("members")).where("members > 1").select("k")
-    shared = materialize(keyed.join(counts, "k"))
+    shared = materialize(joined(keyed, counts, "k"))
     candidates = materialize(stars(shared))
     found = similar(candidates, own, nodes)
     roots = components(found)
-    rest = materialize(apart(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
+    rest = materialize(apart(joined(shared, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
     sets = sets_of(rest.select("node"), own, nodes)
     more = materialize(forests(rest.join(sets, "node")))
     release(candidates, rest, shared, sets)
     roots = components(found.unionByName(more))
-    rooted = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    rooted = materialize(joined(nodes, roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    named = rooted.join(best, "root").select("node", "best")
+    named = joined(rooted, best, "root").select("node", "best")
     each = node.select("doc_id", "digest", "node").dropDuplicates(["doc_id", "digest"])
     release(found, more)
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
-    return each.join(named, "node").select("doc_id", "digest", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
+    return joined(each, named, "node").select("doc_id", "digest", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -64,6 +64,16 @@ def test_links_connect_all_close_pairs_in_wide_groups(spark):
     assert all(got.get(f, f) == root[f] for f in fps)
 
 
+def test_no_table_goes_through_the_driver(spark, tmp_path):
+    """Keys are ten rows of each fingerprint, which estimates of size don't count."""
+    spark.createDataFrame([(f, 0, f) for f in range(2000)], "node long, fam int, fp long").write.parquet(f"{tmp_path}/fps")
+    found = links(spark.read.parquet(f"{tmp_path}/fps"))
+    assert found.count() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(d, f"some words and {d}") for d in range(50)], "doc_id long, text string")
+    out = simhash_groups(docs)
+    assert out.count() == 50 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates(spark):
     r = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
