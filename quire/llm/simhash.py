@@ -181,7 +181,8 @@ def simhash_groups(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
     return joined(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates for a pipeline: MinHash bands of five-word shingle sets find candidates of similarity 0.8.
+# Near duplicates for a pipeline: fingerprints that link propose pairs, and MinHash bands of five-word shingle sets those
+# that an edit has taken farther apart; all are held against similarity 0.8.
 
 SHINGLE = 5
 #: Keys of a set, and minima in each: a pair of similarity 0.8 shares one with 0.99995, of 0.5 with 0.55.
@@ -360,21 +361,38 @@ def similar(pairs: DataFrame, own: DataFrame, nodes: DataFrame, share: int = 64)
     return out
 
 
+def proposed(nodes: DataFrame, distance: int = 3) -> DataFrame:
+    """a, b: pairs of nodes that connect all whose fingerprints differ in at most distance bits. nodes: node, fp.
+
+    Nodes of one fingerprint go with the least of them, which stands for it among the links of fingerprints.
+    """
+    stands = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = joined(nodes, stands, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    far = links(stands.select(F.col("fp").alias("node"), F.lit(0).alias("fam"), "fp"), distance)
+    one = joined(far, stands.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
+    both = joined(one, stands.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    out = materialize(same.unionByName(both))
+    release(stands)
+    return out
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, digest, component_id, kept: for each doc_id and text of docs once; near copies share a component.
 
     digest: md5 of the text. component_id is the component's smallest doc_id, where null is the largest; one row of each
-    component is kept, that of the smallest doc_id, then digest. Candidates share one of 25 keys, each of five minima of
-    their sets of five-word shingles. First each key's nodes are held against the smallest; then those that could be
-    similar to one that these links leave apart go, with their sets, to their keys again, from which a forest of links
-    goes out. A pair links only if its sets have similarity 0.8 or more.
+    component is kept, that of the smallest doc_id, then digest. Candidates are SimHash links, of fingerprints that differ
+    in at most three bits, as in simhash_groups. Edits that change more bits are candidates if they share one of 25 keys,
+    each of five minima of their sets of five-word shingles. First each key's nodes are held against the smallest; then
+    those that could be similar to one that these links leave apart go, with their sets, to their keys again, from which
+    a forest of links goes out. A pair of either kind links only if its sets have similarity 0.8 or more.
     Texts under five words have their whole sequence as shingle; a null text is empty. An empty table gives no rows.
     """
 
     def rows(batches):
         for batch in (part for whole in batches for part in slices(whole)):
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for text in batch.column(1).to_pylist():
+                out[4].append(fingerprint(text))
                 sets = shingle_set(text)
                 least = minima(sets)
                 out[0].append(set_node(sets))
@@ -382,17 +400,19 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
                 out[2].append((least >> np.uint64(24)).astype(np.uint8).tobytes())
                 out[3].append(band_keys(least))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(out[0]) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), keys], names=["doc_id", "digest", "node", "n", "sig", "ks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), keys, pa.array(out[4], pa.int64())], names=["doc_id", "digest", "node", "n", "sig", "ks", "fp"])
 
     own = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"), F.md5("text").alias("digest"))
-    node = materialize(own.mapInArrow(rows, "doc_id long, digest string, node long, n long, sig binary, ks array<long>"))
+    node = materialize(own.mapInArrow(rows, "doc_id long, digest string, node long, n long, sig binary, ks array<long>, fp long"))
     # rows with the same set are one node, whatever their number; the least row stands for it
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")
-    nodes = materialize(node.groupBy("node").agg(F.min(first).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("ks").alias("ks")))
+    nodes = materialize(node.groupBy("node").agg(F.min(first).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("ks").alias("ks"), F.min_by("fp", first).alias("fp")))
     keyed = nodes.select("node", "n", "sig", F.explode("ks").alias("k"))
     counts = keyed.groupBy("k").agg(F.count("*").alias("members")).where("members > 1").select("k")
     shared = materialize(joined(keyed, counts, "k"))
-    candidates = materialize(stars(shared))
+    close = proposed(nodes.select("node", "fp"))
+    candidates = materialize(stars(shared).unionByName(close).distinct())
+    release(close)
     found = similar(candidates, own, nodes)
     roots = components(found)
     rest = materialize(apart(joined(shared, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))

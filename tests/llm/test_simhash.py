@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from quire.llm import simhash
 from quire.llm.components import components
 from quire.llm.simhash import links, near_duplicate_groups, set_forest, simhash_groups
 
@@ -129,6 +130,27 @@ def test_near_duplicates_link_at_exact_similarity_alone(spark):
     assert got == {0: 0, 10: 0, 20: 20, 21: 21, 30: 30, 31: 30, 32: 32, 40: 40, 41: 40, 42: 40}
 
 
+def test_fingerprints_propose_near_duplicates(spark, monkeypatch):
+    """Without any band keys, pairs whose fingerprints link are found; they too are held against similarity 0.8."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    rows, bits = [], {}
+    for d in range(40):
+        base = [r.choice(words) for _ in range(400)]
+        edit = [*base[:-1], "last"]
+        rows += [(d, " ".join(base)), (100 + d, " ".join(edit))]
+        bits[d] = (simhash.fingerprint(rows[-2][1].encode()) ^ simhash.fingerprint(rows[-1][1].encode())) & (1 << 64) - 1
+    close = {d for d, x in bits.items() if x.bit_count() <= 3}
+    # one shingle of three words that repeats rules the fingerprint of both, but most of their sets differs
+    many = " ".join(["a b c"] * 300)
+    rows += [(500, many + " " + " ".join(words[:40])), (501, many + " " + " ".join(words[40:80]))]
+    assert len(close) > 20 and ((simhash.fingerprint(rows[-2][1].encode()) ^ simhash.fingerprint(rows[-1][1].encode())) & (1 << 64) - 1).bit_count() <= 3
+    for name in ("stars", "apart"):
+        monkeypatch.setattr(simhash, name, lambda rows, f=getattr(simhash, name): f(rows.limit(0)))
+    got = {x.doc_id: x.component_id for x in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d in range(40) if got[100 + d] == d} == close and got[501] == 501
+
+
 def test_forest_connects_what_exact_pairs_connect():
     r = random.Random(6)
     base = np.array(sorted(r.sample(range(10_000), 60)), np.uint64)
