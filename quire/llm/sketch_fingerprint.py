@@ -71,7 +71,7 @@ def paragraphs(text: Column) -> Column:
         units = F.flatten(F.transform(words, each))
         return let(units, lambda us: let(F.transform(us, lambda u: F.xxhash64(u)), lambda hs: cut(us, hs, "")))
 
-    words = F.split(F.regexp_replace(text, r"^\s+|\s+\z", ""), r"\s+")
+    words = F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"\s+")
     plain = let(words, lambda ws: let(F.transform(ws, lambda w: F.xxhash64(F.concat(w, F.lit(" ")))), lambda hs: cut(ws, hs, " ")))
     odd = text.rlike(f"\\S{{{WORD + 1}}}")
     runs = F.split(F.when(odd, letters(words)).otherwise(plain), "\n")
@@ -257,18 +257,22 @@ def edited() -> Column:
     return F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
 
 
+def digested(dealt_: DataFrame) -> DataFrame:
+    """r, rn, doc_id, n_chars, sha, a, e, z: rows of dealt() with the digests of their text, of their edited text and of the next row's."""
+    rows = with_next(dealt_, a=digests(F.col("text"))).select("r", "rn", "doc_id", "text", "a", F.col("next_a").alias("z"), edited().alias("edited"))
+    return rows.select("r", "rn", "doc_id", F.length("text").alias("n_chars"), F.sha2("edited", 256).alias("sha"), "a", digests(F.col("edited")).alias("e"), "z")
+
+
 def likeness(dealt_: DataFrame, larger: int = 0, open_: DataFrame | None = None) -> DataFrame:
     """r, rn, v, common, union, clean: each row's digests with those of its edited text (v 0) and of the next row's (v 1),
     from the difference of two sketches of the larger one's size.
 
-    larger: how often sketches have failed; each time they have sixteen times the cells. open_: r, rn of the rows wanted.
+    dealt_: rows of dealt() or of digested(). larger: how often sketches have failed; each time they have sixteen times
+    the cells. open_: r, rn of the rows wanted.
     """
-    own = digests(F.col("text"))
-    if open_ is None:
-        found = with_next(dealt_, a=own).select("r", "rn", "a", digests(edited()).alias("e"), F.col("next_a").alias("z"))
-    else:
-        rows = with_next(dealt_).join(open_, ["r", "rn"], "left_semi")
-        found = rows.select("r", "rn", own.alias("a"), digests(edited()).alias("e"), digests(F.col("next_text")).alias("z"))
+    found = dealt_ if "z" in dealt_.columns else digested(dealt_)
+    if open_ is not None:
+        found = found.join(open_, ["r", "rn"], "left_semi")
     both = F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("o")) for v, c in ((0, "e"), (1, "z"))])
     each = found.select("r", "rn", "a", F.explode(both).alias("p")).select("r", "rn", "p.v", "a", "p.o")
     size = F.greatest(size_for(F.size("a")), size_for(F.size("o"))) * 16**larger
@@ -304,13 +308,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     larger fingerprint; two texts without any are alike. An empty table gives no rows.
     """
     rows, n = dealt(docs)
+    # texts are cut and hashed once; all else is made of their digests, dealt as the texts were
+    made = materialize(digested(rows))
+    rows = made.repartition(n, "r")
     near = nearness(rows)
-    rows = with_next(rows)
     # whatever belongs to a row is notes of its first sketch: numbers alone, so that rows meet by sums in their partition
-    sha = F.sha2(edited(), 256)
-    words = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"w{i}") for i in range(4)]
-    two = F.array(*[F.struct(F.lit(v).alias("v"), digests(t).alias("d")) for v, t in ((0, F.col("text")), (1, edited()))])
-    told = rows.select("r", "rn", F.col("doc_id").isNull().cast("int").alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.length("text").alias("n_chars"), *words, F.explode(two).alias("p"))
+    words = [F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(f"w{i}") for i in range(4)]
+    two = F.array(*[F.struct(F.lit(v).alias("v"), F.col(t).alias("d")) for v, t in ((0, "a"), (1, "e"))])
+    told = rows.select("r", "rn", F.col("doc_id").isNull().cast("int").alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), "n_chars", *words, F.explode(two).alias("p"))
     each = told.select("*", "p.v", size_for(F.size("p.d")).alias("size"), F.size("p.d").alias("count"), signed(F.col("p.d"), 1).alias("signed"))
     notes = [
         _cell(F.lit(TALLY), F.lit(0), F.col("count"), F.col("size")),

@@ -105,6 +105,15 @@ def test_sketches_that_fail_go_again_larger(spark, monkeypatch):
         assert got[d].near_next == pytest.approx(jaccard(t, z))
 
 
+def test_texts_are_cut_once(spark, monkeypatch):
+    """Likeness and published sketches are made of the same digests: own ones and those of the edited text, once each."""
+    asked = []
+    plain = sf.digests
+    monkeypatch.setattr(sf, "digests", lambda text: asked.append(1) or plain(text))
+    docs = spark.createDataFrame([(d, f"some {d} words, and more of them {d % 3}\x0b\f ") for d in range(20)], "doc_id long, text string")
+    assert fingerprints(docs).count() == 20 and len(asked) == 2
+
+
 def test_half_of_the_rows_without_doc_id(spark):
     rows = [(None if i % 2 else i, f"text number {i} of many") for i in range(300)] + [(None, None)] * 5
     docs = spark.createDataFrame(rows, "doc_id long, text string")
